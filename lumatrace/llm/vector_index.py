@@ -26,11 +26,13 @@ from pyspark.sql import functions as F
 from ..plans.scratch import materialize
 
 SAMPLE = 32_768
-SUBSPACES = 12
-WORDS = 256
-PROBES = 12
-REFINE = 40
+SUBSPACES = 24
+WORDS = 128
+PROBES = 10
+REFINE = 64
 PER_SHARD = 24_000
+QUERIES = 4096
+RERANK = 512
 ROUNDS = 8
 
 
@@ -75,8 +77,9 @@ class Quantiser:
         else:
             shard_of = np.zeros(cells, dtype=np.int64)
         res = x - centroids[np.argmax(x @ centroids.T, axis=1)]
-        width = x.shape[1] // SUBSPACES
-        words = np.stack([_fit_means(np.ascontiguousarray(res[:, i * width : (i + 1) * width]), WORDS, rng, spherical=False, rounds=6) for i in range(SUBSPACES)])
+        parts = max(p for p in range(1, SUBSPACES + 1) if x.shape[1] % p == 0)
+        width = x.shape[1] // parts
+        words = np.stack([_fit_means(np.ascontiguousarray(res[:, i * width : (i + 1) * width]), WORDS, rng, spherical=False, rounds=6) for i in range(parts)])
         return cls(centroids, shard_of, words)
 
     def nearest(self, x: np.ndarray, probes: int) -> np.ndarray:
@@ -92,10 +95,6 @@ class Quantiser:
             out[:, i] = np.argmax(residual[:, i * width : (i + 1) * width] @ w.T - (w**2).sum(1) / 2, axis=1)
         return out
 
-    def tables(self, x: np.ndarray) -> np.ndarray:
-        width = self.words.shape[2]
-        return np.stack([x[:, i * width : (i + 1) * width] @ w.T for i, w in enumerate(self.words)])  # subspace, query, word
-
 
 def _even_shards(centroids: np.ndarray, load: np.ndarray, shards: int, rng: np.random.Generator) -> np.ndarray:
     """Near cells into one shard, each shard with about the same load: cut in two along the main direction, again and again."""
@@ -133,51 +132,59 @@ def _search(q: Quantiser, ids: np.ndarray, x: np.ndarray, raw: np.ndarray, own:
     base = np.flatnonzero(home)
     base = base[np.argsort(own[base], kind="stable")]
     cell = own[base]
-    codes = q.encode(x[base] - q.centroids[cell])
+    codes = np.ascontiguousarray(q.encode(x[base] - q.centroids[cell]).T)
     starts, ends = np.searchsorted(cell, np.arange(len(q.centroids))), np.searchsorted(cell, np.arange(len(q.centroids)), side="right")
     norm = np.linalg.norm(raw, axis=1)
-    for rows in np.array_split(np.arange(len(x)), max(1, len(x) // 2048)):
+    width = q.words.shape[2]
+    for rows in np.array_split(np.arange(len(x)), max(1, -(-len(x) // QUERIES))):
         near = q.nearest(x[rows], probes)
-        table = q.tables(x[rows])
-        here = (q.shard_of[near] == shard) & (ends[near] > starts[near])
-        pr, pc = np.nonzero(here)
+        pr, pc = np.nonzero((q.shard_of[near] == shard) & (ends[near] > starts[near]))
+        if not len(pr):
+            continue
         pcell = near[pr, pc]
         order = np.argsort(pcell, kind="stable")
-        pr, pcell = pr[order], pcell[order]
-        got_q, got_b, got_s = [], [], []
-        cuts = np.flatnonzero(np.diff(pcell)) + 1
-        for part in np.split(np.arange(len(pr)), cuts) if len(pr) else []:
-            c, qs = int(pcell[part[0]]), pr[part]
+        pr, pc, pcell = pr[order], pc[order], pcell[order]
+        score_of = np.full((len(rows), near.shape[1], refine), -np.inf, dtype=np.float32)
+        cand_of = np.zeros((len(rows), near.shape[1], refine), dtype=np.int32)
+        for part in np.split(np.arange(len(pr)), np.flatnonzero(np.diff(pcell)) + 1):
+            c, qs, at = int(pcell[part[0]]), pr[part], pc[part]
             s, e = starts[c], ends[c]
-            score = np.repeat((x[rows[qs]] @ q.centroids[c])[:, None], e - s, axis=1)
-            for i in range(len(q.words)):
-                score += np.take(table[i][qs], codes[s:e, i], axis=1)
+            xq = x[rows[qs]]
+            tables = np.matmul(q.words, np.ascontiguousarray(xq.reshape(len(qs), -1, width).transpose(1, 2, 0)))  # subspace, word, query
+            score = np.repeat((xq @ q.centroids[c])[None, :], e - s, axis=0)
+            for i in range(len(tables)):
+                score += tables[i][codes[i, s:e]]
             m = min(refine, e - s)
-            best = np.argpartition(-score, m - 1, axis=1)[:, :m] if m < e - s else np.broadcast_to(np.arange(e - s), score.shape)
-            got_q.append(np.repeat(qs, m))
-            got_b.append((best + s).ravel())
-            got_s.append(np.take_along_axis(score, best, axis=1).ravel())
-        if not got_q:
-            continue
-        gq, gb, gs = np.concatenate(got_q), np.concatenate(got_b), np.concatenate(got_s)
-        order = np.lexsort((-gs, gq))
-        gq, gb = gq[order], gb[order]
-        place = np.arange(len(gq)) - np.searchsorted(gq, gq)
-        # the exact stage; the row itself takes one of the places
-        gq, gb = gq[place <= refine], gb[place <= refine]
-        a, b = rows[gq], base[gb]
-        ok = a != b
-        a, b = a[ok], b[ok]
-        d = np.empty(len(a))
-        for at in np.array_split(np.arange(len(a)), max(1, len(a) // 16384)):
-            d[at] = np.einsum("ij,ij->i", raw[a[at]], raw[b[at]]) / (norm[a[at]] * norm[b[at]])
-        d = np.round(1 - d, 6) + 0.0
-        ok = (ids[a] != ids[b]) & (d <= most)
-        a, b, d = a[ok], b[ok], d[ok]
-        order = np.lexsort((ids[b], d, a))
-        a, b, d = a[order], b[order], d[order]
-        keep = np.arange(len(a)) - np.searchsorted(a, a) < k
-        yield a[keep], b[keep], d[keep]
+            if m < e - s:
+                by_query = np.ascontiguousarray(score.T)
+                best = np.argpartition(by_query, e - s - m, axis=1)[:, e - s - m :]
+                score_of[qs, at, :m], cand_of[qs, at, :m] = np.take_along_axis(by_query, best, axis=1), best + s
+            else:
+                score_of[qs, at, :m], cand_of[qs, at, :m] = score.T, np.arange(s, e)
+        score_of, cand_of = score_of.reshape(len(rows), -1), cand_of.reshape(len(rows), -1)
+        take = min(refine + 1, score_of.shape[1])  # the row itself takes one of the places
+        best = np.argpartition(score_of, score_of.shape[1] - take, axis=1)[:, score_of.shape[1] - take :]
+        filled = np.take_along_axis(score_of, best, axis=1) > -np.inf
+        cand = base[np.take_along_axis(cand_of, best, axis=1)]
+        for at in np.array_split(np.arange(len(rows)), max(1, -(-len(rows) // RERANK))):
+            yield _rerank(ids, x, raw, norm, rows[at], cand[at], filled[at], k, most)
+
+
+def _rerank(ids: np.ndarray, x: np.ndarray, raw: np.ndarray, norm: np.ndarray, rows: np.ndarray, cand: np.ndarray, filled: np.ndarray, k: int, most: float):
+    """The k best candidates of each row by exact distance, ties by id; single precision settles all but a few places behind the last."""
+    close = np.einsum("qd,qrd->qr", x[rows], x[cand])
+    close[~filled | (cand == rows[:, None])] = -np.inf
+    last = min(k + 8, close.shape[1])
+    best = np.argpartition(close, close.shape[1] - last, axis=1)[:, close.shape[1] - last :]
+    qi, ri = np.nonzero(np.take_along_axis(close, best, axis=1) > max(-2.0, 1 - most - 1e-4))
+    a, b = rows[qi], cand[qi, best[qi, ri]]
+    d = np.round(1 - np.einsum("ij,ij->i", raw[a], raw[b]) / (norm[a] * norm[b]), 6) + 0.0
+    ok = (ids[a] != ids[b]) & (d <= most)
+    a, b, d = a[ok], b[ok], d[ok]
+    order = np.lexsort((ids[b], d, a))
+    a, b, d = a[order], b[order], d[order]
+    keep = np.arange(len(a)) - np.searchsorted(a, a) < k
+    return a[keep], b[keep], d[keep]
 
 
 def class_neighbours(cls: DataFrame, total: int, sample: np.ndarray, dim: int, k: int, max_distance: float, probes: int = PROBES, refine: int = REFINE) -> DataFrame:
