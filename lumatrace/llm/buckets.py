@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-PER_GROUP = 250_000
+PER_GROUP = 120_000
 HOT_FACTOR = 4
 FLUSH_ROWS = 131_072
 

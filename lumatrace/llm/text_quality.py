@@ -28,6 +28,8 @@ STEPS = 5
 #: 0.99 and 1 - 1e-8 quantiles of the chi-square distribution with seven degrees of freedom
 KEEP, CUTOFF = 18.48, 50.0
 LEAST_PASSAGES = 60
+#: variance added to each statistic, so that one that hardly varies in prose does not decide alone
+FLOOR = [1e-4, 1e-4, 1e-2, 1e-5, 1e-5, 1e-4, 1e-2]
 #: Common words that join names in lists as they do in sentences; the other common words show a clause.
 JOINING = {
     "en": "the a an and on with for of or",
@@ -137,62 +139,87 @@ class ProseModel:
     def __init__(self, parts: dict[str, tuple[np.ndarray, np.ndarray]]) -> None:
         self.parts = parts
 
-    def distance(self) -> tuple[Column, list[Column]]:
-        """Squared distance and the contribution of each statistic; short passages weigh less, as their shares scatter more."""
-        size = F.greatest(F.col("words"), F.col("chars") / 8)
-        weight = F.sqrt(F.least(F.lit(1.0), size / LEAST_WORDS))
-        outs: list[Column] = []
-        for i, s in enumerate(STATS):
-            pick = None
-            for code, (mean, inv) in self.parts.items():
-                z = [F.col(t) - float(m) for t, m in zip(STATS, mean)]
-                row = sum((z[j] * float(inv[i, j]) for j in range(1, len(STATS))), z[0] * float(inv[i, 0]))
-                c = z[i] * row * weight
-                if code:
-                    pick = F.when(F.col("lang") == code, c) if pick is None else pick.when(F.col("lang") == code, c)
-                else:
-                    rest = c
-            outs.append(rest if pick is None else pick.otherwise(rest))
-        return sum(outs[1:], outs[0]), outs
+    def contributions(self, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Languages, statistics and the contribution of each statistic to the squared distance.
+
+        Short passages weigh less, as their shares scatter more.
+        """
+        x = np.stack([batch.column(s).to_numpy(zero_copy_only=False) for s in STATS], axis=1)
+        lang = np.asarray(batch.column("lang").fill_null("").to_pylist(), dtype=object)
+        size = np.maximum(batch.column("words").to_numpy(), batch.column("chars").to_numpy() / 8)
+        out = np.zeros_like(x)
+        for code in set(lang.tolist()):
+            at = lang == code
+            mean, inv = self.parts.get(code) or self.parts.get("") or (np.zeros(len(STATS)), np.eye(len(STATS)))
+            z = x[at] - mean
+            out[at] = z * (z @ inv)
+        return lang, x, out * np.sqrt(np.minimum(1.0, size / LEAST_WORDS))[:, None]
+
+
+def _start(full: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """Median and median deviation of each language, and of all together."""
+    middle = [F.percentile_approx(s, 0.5, 1000).alias(s) for s in STATS]
+    med = full.rollup("lang").agg(F.grouping("lang").alias("whole"), F.count("*").alias("n"), *middle).collect()
+    if not med or not any(r["n"] for r in med):
+        return {}
+    rows = [(r["lang"], *(float(r[s]) for s in STATS)) for r in med if not r["whole"]]
+    centre = full.sparkSession.createDataFrame(rows, "lang string, " + ", ".join(f"m_{s} double" for s in STATS))  # one row a language
+    off = full.join(F.broadcast(centre), "lang").select("lang", *(F.abs(F.col(s) - F.col(f"m_{s}")).alias(s) for s in STATS))
+    dev = {("" if r["whole"] else r["lang"]): r for r in off.rollup("lang").agg(F.grouping("lang").alias("whole"), *middle).collect()}
+    out = {}
+    for r in med:
+        code = "" if r["whole"] else r["lang"]
+        if r["whole"] or r["n"] >= LEAST_PASSAGES:
+            scale = np.array([1.4826 * dev[code][s] + 1e-3 for s in STATS])
+            out[code] = (np.array([float(r[s]) for s in STATS]), np.diag(1 / scale**2))
+    return out
 
 
 def fit_prose(units: DataFrame) -> ProseModel:
     """Concentration steps over all passages of at least half the least length, by language.
 
-    Only counts, sums and cross products (one row a language) come to the driver.
+    Only counts, sums and cross products (some forty numbers a language) come to the driver.
     A language with few passages uses the model of all languages.
     """
     full = units.where(F.col("words") >= LEAST_WORDS // 2)
     k = len(STATS)
-
-    def start(keys: list[str]) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-        med = full.groupBy(*keys).agg(F.count("*").alias("n"), *(F.percentile_approx(s, 0.5, 2000).alias(s) for s in STATS)).collect()
-        out = {}
-        for r in med:
-            dev = full.where((F.col("lang") == r["lang"]) if keys else F.lit(True)).agg(*(F.percentile_approx(F.abs(F.col(s) - r[s]), 0.5, 2000).alias(s) for s in STATS)).first()
-            if r["n"] >= LEAST_PASSAGES or not keys:
-                mean = np.array([r[s] if r[s] is not None else 0.0 for s in STATS])
-                scale = np.array([1.4826 * (dev[s] or 0.0) + 1e-3 for s in STATS])
-                out[r["lang"] if keys else ""] = (mean, np.diag(1 / scale**2))
-        return out
-
-    parts = {**start(["lang"]), **start([])}
-    cross = [(i, j) for i in range(k) for j in range(i, k)]
-    for _ in range(STEPS):
+    parts = _start(full)
+    upper = np.triu_indices(k)
+    for _ in range(STEPS if parts else 0):
+        model = ProseModel(parts)
+
+        def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums: dict[str, np.ndarray] = {}
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                lang, x, part = model.contributions(b)
+                near = part.sum(axis=1) <= KEEP
+                for code in set(lang[near].tolist()):
+                    y = x[near & (lang == code)]
+                    new = np.concatenate([[len(y)], y.sum(axis=0), (y.T @ y)[upper]])
+                    sums[code] = sums.get(code, 0) + new
+            codes = [c for c, v in sums.items() for _ in v]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(codes, pa.string()), pa.array([i for v in sums.values() for i in range(len(v))], pa.int32()), pa.array([float(z) for v in sums.values() for z in v], pa.float64())],
+                names=["lang", "i", "v"],
+            )
+
+        rows = full.mapInArrow(moments, "lang string, i int, v double").groupBy("lang", "i").agg(F.sum("v").alias("v")).collect()
+        by_lang: dict[str, np.ndarray] = {}
+        for r in rows:
+            by_lang.setdefault(r["lang"], np.zeros(1 + k + len(upper[0])))[r["i"]] = r["v"]
+        if by_lang:
+            by_lang[""] = sum(by_lang.values())
         new = {}
-        d, _c = ProseModel(parts).distance()
-        near = full.where(d <= KEEP)
-        sums = [F.count("*").alias("n")] + [F.sum(s).alias(f"s{i}") for i, s in enumerate(STATS)] + [F.sum(F.col(STATS[i]) * F.col(STATS[j])).alias(f"c{i}_{j}") for i, j in cross]
-        rows = near.groupBy("lang").agg(*sums).collect()
-        total = {f: sum(r[f] for r in rows) for f in (rows[0].asDict() if rows else {}) if f != "lang"}
-        for code, r in [(r["lang"], r) for r in rows] + ([("", total)] if rows else []):
-            if code not in parts or r["n"] < LEAST_PASSAGES // 2:
+        for code, v in by_lang.items():
+            if code not in parts or v[0] < LEAST_PASSAGES // 2:
                 continue
-            mean = np.array([r[f"s{i}"] for i in range(k)]) / r["n"]
+            mean = v[1 : k + 1] / v[0]
             cov = np.zeros((k, k))
-            for i, j in cross:
-                cov[i, j] = cov[j, i] = r[f"c{i}_{j}"] / r["n"] - mean[i] * mean[j]
-            new[code] = (mean, np.linalg.inv(1.15 * cov + np.diag([1e-4, 1e-4, 1e-2, 1e-5, 1e-5, 1e-4, 1e-2])))
+            cov[upper] = v[k + 1 :] / v[0]
+            cov = cov + np.triu(cov, 1).T - np.outer(mean, mean)
+            new[code] = (mean, np.linalg.inv(1.15 * cov + np.diag(FLOOR)))
         parts = {**parts, **new}
     return ProseModel(parts)
 
@@ -210,8 +237,16 @@ def _common(common_words: DataFrame, most: int = 100_000) -> dict[str, frozenset
 def judged_passages(documents: DataFrame, common_words: DataFrame) -> DataFrame:
     """Passages with ``distance`` (squared), one ``by_...`` contribution a statistic, and ``outlying``."""
     units = materialize(passage_stats(documents, _common(common_words)), "passages")
-    total, parts = fit_prose(units).distance()
-    return units.select("*", total.alias("distance"), *(c.alias(f"by_{s}") for c, s in zip(parts, STATS))).withColumn("outlying", F.col("distance") > CUTOFF)
+    model = fit_prose(units)
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            _, _, part = model.contributions(b)
+            extra = [pa.array(part.sum(axis=1)), *(pa.array(np.ascontiguousarray(part[:, i])) for i in range(len(STATS)))]
+            yield pa.RecordBatch.from_arrays([*b.columns, *extra], names=[*b.schema.names, "distance", *(f"by_{x}" for x in STATS)])
+
+    schema = UNIT_SCHEMA + ", distance double, " + ", ".join(f"by_{x} double" for x in STATS)
+    return units.mapInArrow(judge, schema).withColumn("outlying", F.col("distance") > CUTOFF)
 
 
 def text_quality(documents: DataFrame, common_words: DataFrame) -> DataFrame:
