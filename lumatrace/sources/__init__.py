@@ -1 +1 @@
-
+"""Sources and sinks: files, metadata, stored tables."""

@@ -1 +1 @@
-
+"""Structured Streaming: arriving files and arriving fingerprints."""
