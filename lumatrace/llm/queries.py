@@ -84,6 +84,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 _TOKENS = r"""coalesce(len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+')), 0)"""
 
+_KEY = "replace(path{n}, chr(92), '/') || '|' || CASE WHEN channel{n} IS NULL OR channel{n} IN ('', 'RGB', 'Composite') THEN '' ELSE channel{n} END"
+
 _FILES = """
     SELECT group_id, path,
         arg_max(struct_pack(w := resolution_w, h := resolution_h), struct_pack(t := observed_at, p := resolution_w::BIGINT * resolution_h, w := resolution_w, h := resolution_h))
@@ -102,12 +104,23 @@ def oracle_sql() -> dict[str, str]:
                 WHERE analysis_type IS NOT NULL AND phash IS NOT NULL AND dhash IS NOT NULL AND whash IS NOT NULL)
             SELECT a.item_id AS item_id_a, b.item_id AS item_id_b FROM one a JOIN one b
             ON a.analysis_type = b.analysis_type AND a.item_id < b.item_id
-            AND bit_count(xor(a.phash, b.phash)) + bit_count(xor(a.dhash, b.dhash)) + bit_count(xor(a.whash, b.whash)) <= 19""",
+            AND bit_count(xor(a.phash, b.phash))::INT + bit_count(xor(a.dhash, b.dhash))::INT + bit_count(xor(a.whash, b.whash))::INT <= 19""",
+        "p3_found": f"""
+            WITH RECURSIVE e AS (SELECT {_KEY.format(n=1)} AS a, {_KEY.format(n=2)} AS b FROM edges WHERE path1 IS NOT NULL AND path2 IS NOT NULL),
+            t AS (SELECT a AS x, b AS y FROM e WHERE a <> b UNION SELECT b, a FROM e WHERE a <> b),
+            r(node, other) AS (SELECT x, x FROM t UNION SELECT r.node, t.y FROM r JOIN t ON r.other = t.x)
+            SELECT min(other) AS group_key, node AS member_key FROM r GROUP BY node""",
         "p4_found": f"""
             WITH f AS ({_FILES})
             SELECT group_id, path FROM f QUALIFY row_number() OVER (PARTITION BY group_id ORDER BY
                 coalesce(res.w::BIGINT * res.h, 0) DESC, coalesce(bit_depth, 0) DESC, coalesce(file_size, 0) DESC, path) = 1""",
         "p4_records": f"WITH f AS ({_FILES}) SELECT group_id, path, res.w AS resolution_w, res.h AS resolution_h, file_size, bit_depth FROM f",
+        "p5_found": """
+            WITH o AS (SELECT DISTINCT item_id, vector::DOUBLE[] AS v FROM fingerprints WHERE item_id IS NOT NULL AND len(vector) = 96),
+            u AS (SELECT item_id, v FROM o WHERE list_bool_and(list_transform(v, lambda x: coalesce(isfinite(x), false))) AND list_bool_or(list_transform(v, lambda x: x <> 0))),
+            n AS (SELECT a.item_id AS x, b.item_id AS y, round(1 - list_cosine_similarity(a.v, b.v), 6) AS d FROM u a JOIN u b ON a.item_id <> b.item_id
+                QUALIFY row_number() OVER (PARTITION BY a.item_id ORDER BY round(1 - list_cosine_similarity(a.v, b.v), 6), b.item_id) <= 10)
+            SELECT DISTINCT least(x, y) AS item_id_a, greatest(x, y) AS item_id_b FROM n WHERE d <= 0.2""",
         "p6_found": f"SELECT doc_id FROM documents WHERE {_TOKENS} > 512",
         "p7_found": f"""
             WITH d AS (SELECT regexp_replace(lower(source), '[^\\p{{L}}]', '', 'g') AS name, {_TOKENS} AS n FROM documents),

@@ -38,19 +38,19 @@ JOINING = {
     "es": "el la los las un una y o sobre con para de del",
 }
 
-WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 TOKEN = re.compile(r"\w+(?:['’]\w+)?")
 BULLET = re.compile(r"\s*(?:[-*•+]\s|\d+[.)]\s|\s{2,}\S)")
-DENSE = re.compile(r"[^\W\d_]|\s")
+OTHER = re.compile(r"[^\w\s]|[\d_]")
 #: a reference to a file inside a line counts as one word
 PATH = re.compile(r"(?<=[^\s][ ])(?:\b[A-Za-z]:)?(?:/[^\s/,;|:]+){2,}")
 COLUMNS = re.compile(r"\S\s{3,}\S|\t|\s\|\s")
+SOLID, DIGIT, SIGN = re.compile(r"\S"), re.compile(r"\d"), re.compile(r"[^\w\s]|_")
 CLOSED = re.compile(r"[.!?…。][\"'”’»)\]]*$")
 
 
 def _kind(line: str) -> int:
     """0 words, 1 list item, 2 mostly other signs."""
-    if len(DENSE.findall(line)) < 0.75 * len(line):
+    if len(OTHER.findall(line)) > 0.25 * len(line):
         return 2
     return 1 if BULLET.match(line) else 0
 
@@ -87,23 +87,21 @@ def passages(text: str) -> Iterator[str]:
         yield "\n".join(held)
 
 
-def _passage_stats(text: str, common: dict[str, frozenset[str]], clause: dict[str, frozenset[str]], declared: str) -> tuple:
+def _passage_stats(text: str, known: dict[str, tuple[int, int]], languages: list[str], declared: str) -> tuple:
+    """``known``: word -> bits of the languages in which it is common, bits of those in which it shows a clause."""
     text, chars = PATH.sub("file", text), len(text)
-    low = text.lower()
-    tokens = TOKEN.findall(low)
+    tokens = TOKEN.findall(text.lower())
     n = max(1, len(tokens))
-    best, lang = -1, declared
-    for code, known in common.items():
-        hits = sum(w in known for w in tokens)
+    seen = [known[w] for w in tokens if w in known]
+    best, lang, joined = -1, declared, 0
+    for i, code in enumerate(languages):
+        hits = sum(m[0] >> i & 1 for m in seen)
         if hits > best or (hits == best and code == declared):
-            best, lang = hits, code
-    joined = sum(w in clause[lang] for w in tokens) if lang in clause else 0
+            best, lang, joined = hits, code, sum(m[1] >> i & 1 for m in seen)
     lines = [x for x in text.splitlines() if x.strip()]
     listed = sum(BULLET.match(x) is not None or COLUMNS.search(x) is not None for x in lines)
-    solid = [c for c in text if not c.isspace()]
-    size = max(1, len(solid))
-    digits = sum(c.isdigit() for c in solid)
-    signs = sum(not c.isalnum() for c in solid)
+    size = max(1, len(SOLID.findall(text)))
+    digits, signs = len(DIGIT.findall(text)), len(SIGN.findall(text))
     return (lang, chars, len(tokens), max(best, 0) / n, joined / n, min(30.0, sum(map(len, tokens)) / n), signs / size, digits / size, len(set(tokens)) / n, listed / max(1, len(lines)))
 
 
@@ -116,7 +114,13 @@ def _language(col: Column) -> Column:
 
 def passage_stats(documents: DataFrame, common_words: dict[str, frozenset[str]]) -> DataFrame:
     """One row for each passage of each text with its language, size and statistics."""
-    clause = {k: v - frozenset(JOINING.get(k, "").split()) for k, v in common_words.items()}
+    languages = list(common_words)
+    known: dict[str, tuple[int, int]] = {}
+    for i, code in enumerate(languages):
+        joining = JOINING.get(code, "").split()
+        for w in common_words[code]:
+            a, b = known.get(w, (0, 0))
+            known[w] = (a | 1 << i, b | (w not in joining) << i)
 
     def stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -124,7 +128,7 @@ def passage_stats(documents: DataFrame, common_words: dict[str, frozenset[str]])
             for doc, text, lang in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("lang").to_pylist()):
                 for p in passages(text):
                     ids.append(doc)
-                    rows.append(_passage_stats(p, common_words, clause, lang))
+                    rows.append(_passage_stats(p, known, languages, lang))
             cols = list(zip(*rows)) if rows else [[] for _ in range(3 + len(STATS))]
             types = [pa.string(), pa.int64(), pa.int64(), *[pa.float64()] * len(STATS)]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(c, t) for c, t in zip(cols, types))], names=["doc_id", "lang", "chars", "words", *STATS])
@@ -258,7 +262,8 @@ def text_quality(documents: DataFrame, common_words: DataFrame) -> DataFrame:
     """
     by_doc = judged_passages(documents, common_words)
     weighted = [(F.sum(F.col(c) * F.col("chars")) / F.sum("chars")).alias(c) for c in ["distance", *(f"by_{s}" for s in STATS)]]
-    shares = [(F.sum(F.col(s) * F.col("words")) / F.sum("words")).alias(s) for s in STATS]
+    n_words = F.sum("words")
+    shares = [(F.sum(F.col(s) * F.col("words")) / F.when(n_words > 0, n_words)).alias(s) for s in STATS]
     agg = by_doc.groupBy("doc_id").agg(
         F.sum("words").alias("word_count"), *shares, *weighted, (F.sum(F.when(F.col("outlying"), F.col("chars")).otherwise(0)) / F.sum("chars")).alias("odd_share")
     )
