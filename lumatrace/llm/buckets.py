@@ -68,7 +68,14 @@ def group_count(entries: int) -> int:
     return max(1, -(-entries // PER_GROUP))
 
 
-def hot_groups(df: DataFrame, keys: KeyFn, groups: int, entries: int) -> dict[int, int]:
+def _group(k: np.ndarray, band: int, groups: int, bands: int) -> np.ndarray:
+    """Group numbers; with ``bands`` a group holds keys of one band only, ``groups`` being shared out among them."""
+    if not bands:
+        return (k % np.uint64(groups)).astype(np.int64)
+    return (k % np.uint64(max(1, groups // bands))).astype(np.int64) * bands + band
+
+
+def hot_groups(df: DataFrame, keys: KeyFn, groups: int, entries: int, bands: int = 0) -> dict[int, int]:
     """Chunks of each group with over HOT_FACTOR * PER_GROUP entries.
 
     At most entries / (HOT_FACTOR * PER_GROUP) groups, and by the second bound
@@ -79,10 +86,11 @@ def hot_groups(df: DataFrame, keys: KeyFn, groups: int, entries: int) -> dict[in
         return {}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(groups, dtype=np.int64)
+        size = max(groups, bands)
+        total = np.zeros(size, dtype=np.int64)
         for cols in gathered(batches):
-            for k in keys(cols):
-                total += np.bincount((k % np.uint64(groups)).astype(np.int64), minlength=groups)
+            for band, k in enumerate(keys(cols)):
+                total += np.bincount(_group(k, band, groups, bands), minlength=size)
         at = np.flatnonzero(total)
         yield pa.record_batch([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["grp", "n"])
 
@@ -92,7 +100,7 @@ def hot_groups(df: DataFrame, keys: KeyFn, groups: int, entries: int) -> dict[in
     return {r.grp: -(-r.n // PER_GROUP) for r in found.collect()}
 
 
-def pack(df: DataFrame, keys: KeyFn, payload: list[tuple[str, str]], groups: int, hot: dict[int, int]) -> DataFrame:
+def pack(df: DataFrame, keys: KeyFn, payload: list[tuple[str, str]], groups: int, hot: dict[int, int], bands: int = 0) -> DataFrame:
     """``grp, chunk, pair, block``: the entries of ``df`` by group.
 
     ``payload`` lists (column, numpy type). A block is the concatenation of its
@@ -110,8 +118,8 @@ def pack(df: DataFrame, keys: KeyFn, payload: list[tuple[str, str]], groups: int
                 block = b"".join([k[at].tobytes(), *(a[at].tobytes() for a in arrays)])
                 out.append((grp, chunk, other, block))
 
-            for k in keys(cols):
-                g = (k % np.uint64(groups)).astype(np.int64)
+            for band, k in enumerate(keys(cols)):
+                g = _group(k, band, groups, bands)
                 order = np.argsort(g, kind="stable")
                 cuts = np.flatnonzero(np.diff(g[order])) + 1
                 for at in np.split(order, cuts):

@@ -99,12 +99,6 @@ _FILES = """
 def oracle_sql() -> dict[str, str]:
     """SQL for those whose result plain SQL can state on whole tables in reasonable time; the others are tested by brute force."""
     return {
-        "p2_found": """
-            WITH one AS (SELECT DISTINCT item_id, analysis_type, phash, dhash, whash FROM hashes
-                WHERE analysis_type IS NOT NULL AND phash IS NOT NULL AND dhash IS NOT NULL AND whash IS NOT NULL)
-            SELECT a.item_id AS item_id_a, b.item_id AS item_id_b FROM one a JOIN one b
-            ON a.analysis_type = b.analysis_type AND a.item_id < b.item_id
-            AND bit_count(xor(a.phash, b.phash))::INT + bit_count(xor(a.dhash, b.dhash))::INT + bit_count(xor(a.whash, b.whash))::INT <= 19""",
         "p3_found": f"""
             WITH RECURSIVE e AS (SELECT {_KEY.format(n=1)} AS a, {_KEY.format(n=2)} AS b FROM edges WHERE path1 IS NOT NULL AND path2 IS NOT NULL),
             t AS (SELECT a AS x, b AS y FROM e WHERE a <> b UNION SELECT b, a FROM e WHERE a <> b),
