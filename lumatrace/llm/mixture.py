@@ -140,7 +140,9 @@ def mix(documents: DataFrame, targets: DataFrame, seed: int = 11, block: int = B
             for shard in frame["id"]:
                 counts, start = shard_counts(int(shard), shards, totals, SHARD_SLOTS, seed)
                 which = np.repeat(np.arange(len(names)), counts)
-                s = np.concatenate([np.arange(a, a + c) for a, c in zip(start, counts)]) if len(which) else np.array([], dtype=np.int64)
+                if not len(which):
+                    continue
+                s = np.concatenate([np.arange(a, a + c) for a, c in zip(start, counts)])
                 slot = np.random.Generator(np.random.PCG64([seed, 1, int(shard)])).permutation(len(which))
                 turn = s // np.maximum(have[which], 1)
                 ok = (have[which] > 0) & (turn < repeats[which])
@@ -149,7 +151,7 @@ def mix(documents: DataFrame, targets: DataFrame, seed: int = 11, block: int = B
                     for t in np.unique(turn[(which == i) & ok]):
                         at = (which == i) & (turn == t)
                         blk[at] = permuted(s[at] % have[i], int(have[i]), seed * 1_000_003 + int(i) * 8191 + int(t))
-                yield pd.DataFrame({"shard": int(shard), "slot": slot[ok], "source": [names[i] for i in which[ok]], "block": blk[ok], "pass": turn[ok]})
+                yield pd.DataFrame({"shard": int(shard), "slot": slot[ok], "source": pd.Series([names[i] for i in which[ok]], dtype=object), "block": blk[ok], "pass": turn[ok]})
 
     plan = spark.range(0, shards, 1, min(shards, 4096)).mapInPandas(draw, "shard bigint, slot bigint, source string, block bigint, pass bigint")
     plan = materialize(plan, "plan")
