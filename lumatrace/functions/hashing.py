@@ -8,11 +8,12 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BANDS, BAND_BITS = 4, 16
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def xxh64_hex(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """XXH64 with seed 0 of binary content, as 16 hex digits; null stays null.
 

@@ -25,8 +25,8 @@ def l2_normalize(a: Column) -> Column:
 
 
 def cosine_distance(a: Column, b: Column) -> Column:
-    """1 minus the cosine, rounded to six decimals."""
-    return F.round(1 - dot(a, b) / (norm(a) * norm(b)), 6)
+    """1 minus the cosine, rounded to six decimals; null for a zero vector."""
+    return F.round(1 - dot(a, b) / F.nullif(norm(a) * norm(b), F.lit(0.0)), 6)
 
 
 def threshold_distance(percent: float) -> float:
