@@ -1,22 +1,67 @@
-"""Connected components by smallest label with pointer jumping."""
+"""Connected components."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.scratch import discard, materialize
 
+#: edges up to which one task runs a union-find; a bound of some tens of megabytes
+ONE_TASK = 500_000
+
+
+def union_find(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
+    """Smallest number of the component of each of 0..n-1: all edges hook at once, then all paths are compressed."""
+    parent = np.arange(n)
+    while len(u):
+        np.minimum.at(parent, np.maximum(u, v), np.minimum(u, v))
+        while True:
+            up = parent[parent]
+            if np.array_equal(up, parent):
+                break
+            parent = up
+        u, v = parent[u], parent[v]
+        apart = u != v
+        u, v = u[apart], v[apart]
+    return parent
+
+
+def _in_one_task(pairs: DataFrame) -> DataFrame:
+    kind = pairs.schema["x"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        table = pa.Table.from_batches(held)
+        n = table.num_rows
+        both = np.concatenate([table.column(c).to_numpy() for c in ("x", "y")])
+        ids, flat = np.unique(both, return_inverse=True)
+        parent = union_find(flat[:n], flat[n:], len(ids))
+        for at in np.array_split(np.arange(len(ids)), max(1, len(ids) // 10_000)):
+            yield pa.RecordBatch.from_arrays([pa.array(ids[at], table.schema.field("x").type), pa.array(ids[parent[at]], table.schema.field("x").type)], names=["node", "component"])
+
+    return pairs.coalesce(1).mapInArrow(run, f"node {kind}, component {kind}")
+
 
 def connected_components(edges: DataFrame, a: str = "src", b: str = "dst") -> DataFrame:
     """``node, component`` for all nodes of ``edges``; the component is its smallest node.
 
-    Each round takes the smallest label among a node and its neighbours, then the
-    label of that label, so chains halve; a round's table cuts the lineage. Null
-    ends tie nothing; a loop keeps its node as a component of its own.
+    Up to ``ONE_TASK`` distinct edges one task suffices. Beyond, each round takes
+    the smallest label among a node and its neighbours, then the label of that
+    label, so chains halve; a round's table cuts the lineage. Null ends tie
+    nothing; a loop keeps its node as a component of its own.
     """
     ok = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).alias("x"), F.col(b).alias("y"))
-    both = materialize(ok.union(ok.select("y", "x")).distinct(), "edges")
+    once = materialize(ok.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "edges")
+    if once.count() <= ONE_TASK:
+        return materialize(_in_one_task(once), "labels")
+    both = materialize(once.union(once.where("x <> y").select("y", "x")), "edges")
     labels = materialize(both.groupBy("x").agg(F.least(F.col("x"), F.min("y")).alias("l")), "labels")
     while True:
         near = both.join(labels.select(F.col("x").alias("y"), F.col("l").alias("ly")), "y").groupBy("x").agg(F.min("ly").alias("m"))

@@ -97,7 +97,7 @@ def test_band_recall(spark):
     assert bands.banded_pairs(miss, "id", "h", 8).count() == 0
 
 
-def test_components_match_union_find(spark):
+def test_components_match_union_find(spark, monkeypatch):
     r = random.Random(8)
     rows = [(f"n{r.randint(0, 150)}", f"n{r.randint(0, 150)}") for _ in range(110)] + [(f"p{i:03d}", f"p{i + 1:03d}") for i in range(60)] + [(None, "x")]
     up = {}
@@ -114,6 +114,8 @@ def test_components_match_union_find(spark):
             up[max(a, b)] = min(a, b)
     got = {(x.node, x.component) for x in graph.connected_components(spark.createDataFrame(rows, "src string, dst string")).collect()}
     assert got == {(x, find(x)) for x in up}
+    monkeypatch.setattr(graph, "ONE_TASK", 10)
+    assert got == {(x.node, x.component) for x in graph.connected_components(spark.createDataFrame(rows, "src string, dst string")).collect()}
     assert graph.connected_components(spark.createDataFrame([], "src string, dst string")).count() == 0
 
 
