@@ -44,7 +44,7 @@ OTHER = re.compile(r"[^\w\s]|[\d_]")
 #: a reference to a file inside a line counts as one word
 PATH = re.compile(r"(?<=[^\s][ ])(?:\b[A-Za-z]:)?(?:/[^\s/,;|:]+){2,}")
 COLUMNS = re.compile(r"\S\s{3,}\S|\t|\s\|\s")
-SOLID, DIGIT, SIGN = re.compile(r"\S"), re.compile(r"\d"), re.compile(r"[^\w\s]|_")
+DIGIT, SIGN = re.compile(r"\d"), re.compile(r"[^\w\s]|_")
 CLOSED = re.compile(r"[.!?…。][\"'”’»)\]]*$")
 
 
@@ -100,7 +100,7 @@ def _passage_stats(text: str, known: dict[str, tuple[int, int]], languages: list
             best, lang, joined = hits, code, sum(m[1] >> i & 1 for m in seen)
     lines = [x for x in text.splitlines() if x.strip()]
     listed = sum(BULLET.match(x) is not None or COLUMNS.search(x) is not None for x in lines)
-    size = max(1, len(SOLID.findall(text)))
+    size = max(1, sum(map(len, text.split())))
     digits, signs = len(DIGIT.findall(text)), len(SIGN.findall(text))
     return (lang, chars, len(tokens), max(best, 0) / n, joined / n, min(30.0, sum(map(len, tokens)) / n), signs / size, digits / size, len(set(tokens)) / n, listed / max(1, len(lines)))
 
