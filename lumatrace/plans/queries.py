@@ -141,7 +141,10 @@ def band_keys(spark: SparkSession, d: str) -> DataFrame:
     return h.select("item_id", "batch_no", F.explode(hashing.bands(F.col("dhash"))).alias("b")).select("item_id", "batch_no", "b.band", "b.key")
 
 
-@query()
+@query("""
+    SELECT vec_id, (CASE WHEN u >= 9223372036854775808::HUGEINT THEN u - 18446744073709551616::HUGEINT ELSE u END)::BIGINT AS h
+    FROM (SELECT vec_id, list_sum(list_transform(range(1, 65), lambda i: CASE WHEN v[i] > list_median(v) THEN (1::HUGEINT) << (64 - i)::HUGEINT ELSE 0::HUGEINT END)) AS u
+        FROM (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings))""")
 def fingerprint64(spark: SparkSession, d: str) -> DataFrame:
     v = F.transform("embedding", lambda x: x.cast("double"))
     s = F.array_sort(v)
