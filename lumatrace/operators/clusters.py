@@ -68,8 +68,8 @@ def star_groups(files: DataFrame, pairs: DataFrame, exact: DataFrame | None = No
     """``component, node, leader, is_best, method, distance``: each component's leader and the members tied directly to it.
 
     ``files``: nodes with the columns of :func:`leader_order`. ``exact``: node and
-    content hash; unless ``strict``, members with the leader's hash count as tied
-    to it by xxHash even when the evidence names another representative.
+    content hash; unless ``strict``, members (nodes of the same component) with the
+    leader's hash count as tied to it by xxHash even when the evidence names another representative.
     Components of which fewer than two nodes are known, and leaders without a tie, have no group.
     """
     of = connected_components(pairs, "node_a", "node_b")
@@ -86,7 +86,7 @@ def star_groups(files: DataFrame, pairs: DataFrame, exact: DataFrame | None = No
         twins = by_hash.select("component", "node", "leader", F.lit("xxHash").alias("method"), F.lit(0.0).alias("distance"))
         tied = tied.unionByName(twins).groupBy("component", "node", "leader").agg(F.min(F.struct(method_rank(F.col("method")).alias("r"), "distance", "method")).alias("e"))
         tied = tied.select("component", "node", "leader", "e.method", "e.distance")
-    tied = tied.join(known.select("node"), "node", "left_semi")
+    tied = tied.join(known.select("component", "node"), ["component", "node"], "left_semi")
     heads = tied.select("component", "leader").distinct()
     best = heads.select("component", F.col("leader").alias("node"), "leader", F.lit("Best").alias("method"), F.lit(0.0).alias("distance"))
     return best.unionByName(tied).withColumn("is_best", F.col("node") == F.col("leader"))

@@ -22,16 +22,26 @@ def perceptual_evidence(hashes: DataFrame, method: str, column: str, max_bits: i
     return near.select(path("id_a").alias("path1"), chan("id_a").alias("channel1"), path("id_b").alias("path2"), chan("id_b").alias("channel2"), F.lit(method).alias("method"), F.lit(0.0).alias("distance"))
 
 
+def with_composites(files: DataFrame) -> DataFrame:
+    """``files`` with one composite node for each path that has a content hash and only channel nodes; its metadata is that of its first channel."""
+    whole = clusters.node_key(F.col("path"), F.col("channel")) == clusters.node_key(F.col("path"), F.lit(None).cast("string"))
+    first = F.min_by(F.struct(*files.columns), F.struct(F.col("hash").isNull(), F.col("channel"))).alias("f")
+    lacking = files.groupBy("path").agg(F.max(whole).alias("whole"), first).where("NOT whole AND f.hash IS NOT NULL").select("f.*")
+    return files.unionByName(lacking.withColumn("channel", F.lit(None).cast("string")))
+
+
 def duplicate_scan(config: ScanConfig, files: DataFrame, hashes: DataFrame | None = None, links: DataFrame | None = None) -> DataFrame:
     """Result rows of a duplicate scan.
 
     ``files``: one row a node with metadata and ``hash`` (content). ``hashes``: path, channel, dhash, phash,
     whash. ``links``: evidence rows of vector neighbours. Stages are left out as
-    the configuration says; files without a content hash take no part.
+    the configuration says; files without a content hash take no part. Exact
+    copies are tied as composites, which files seen by channel only get here.
     """
     c = config.validate()
     producers = []
     if c.find_exact:
+        files = with_composites(files)
         e = exact.exact_edges(files.select("path", "hash").distinct())
         null = F.lit(None).cast("string")
         producers.append(e.select("path1", null.alias("channel1"), "path2", null.alias("channel2"), F.lit("xxHash").alias("method"), F.lit(0.0).alias("distance")))
@@ -42,7 +52,8 @@ def duplicate_scan(config: ScanConfig, files: DataFrame, hashes: DataFrame | Non
     if links is not None and c.use_ai:
         producers.append(links.where(F.col("distance") <= round(1 - c.similarity / 100, 6)))
     pairs = materialize(clusters.merge_evidence(clusters.union_evidence(*producers)), "pairs")
-    twins = files.where(F.col("hash").isNotNull()).select(clusters.node_key(F.col("path"), F.col("channel")).alias("node"), "hash")
+    keys = F.array(*(clusters.node_key(F.col("path"), x) for x in (F.col("channel"), F.lit(None).cast("string"))))  # the hash is the file's, so the composite has it too
+    twins = files.where(F.col("hash").isNotNull()).select(F.explode(keys).alias("node"), "hash").distinct()
     groups = materialize(clusters.star_groups(files, pairs, twins if c.find_exact else None), "groups")
     return clusters.result_rows(groups, files)
 

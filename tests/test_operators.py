@@ -166,3 +166,24 @@ def test_group_numbers_are_dense(spark):
 
 def test_empty_scan(spark):
     assert scan(spark, []) == {}
+
+
+def test_copies_seen_by_channel_only_are_found(spark):
+    files = [file("a.png", hash="h", channel="R"), file("a.png", hash="h", channel="G"), file("bb.png", hash="h", channel="R"), file("ccc.png", hash="h"), file("ccc.png", channel="A"), file("d.png", hash="x", channel="R"), file("e.png", channel="R")]
+    for some in (files, files[:3] + files[5:]):
+        out = [(r.path, r.channel, r.is_best, r.found_by) for r in duplicate_scan(ScanConfig("/", find_dhash=False, find_phash=False), spark.createDataFrame(some, FILES)).collect()]
+        assert {p for p, c, _, _ in out if c is None} == {p for p, *_, h in some if h == "h"}
+        assert [(p, c) for p, c, best, _ in out if best] == [("a.png", None)]
+
+
+def test_a_composite_without_hash_is_tied_by_its_channels(spark):
+    files = [file("aa.png", hash="h", channel="R"), file("b.png", channel=None), file("b.png", hash="h", channel="R"), file("ccc.png", hash="h", channel="R")]
+    out = duplicate_scan(ScanConfig("/", find_dhash=False, find_phash=False), spark.createDataFrame(files, FILES)).where("channel IS NULL").collect()
+    assert {r.path for r in out} == {"aa.png", "b.png", "ccc.png"}
+
+
+def test_channel_nodes_stay_in_their_own_component(spark):
+    files = [file(p, hash="h", channel=c) for p in ("a.png", "bb.png") for c in (None, "R")]
+    links = spark.createDataFrame([("a.png", "R", "bb.png", "R", "AI", 0.02)], EVIDENCE)
+    out = duplicate_scan(ScanConfig("/", find_dhash=False, find_phash=False, use_ai=True), spark.createDataFrame(files, FILES), links=links).collect()
+    assert sorted((r.group_id, r.path, r.channel) for r in out) == [(1, "a.png", None), (1, "bb.png", None), (2, "a.png", "R"), (2, "bb.png", "R")]
