@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.hashing import content_number
 from ..plans.scratch import materialize
 from . import buckets as B
 
@@ -39,12 +40,6 @@ def _keys(cols: dict[str, np.ndarray]) -> list[np.ndarray]:
     return [B.combine(kind, segment_values(h, s) * np.uint64(SEGMENTS) + np.uint64(s)) for s in range(SEGMENTS)]
 
 
-def content_number(x: Column) -> Column:
-    """The 64-bit number that an xxHash text stands for; null where it is none."""
-    bare = F.regexp_replace(F.lower(F.trim(x)), r"^\s*(0x)?|\s+$", "")
-    return F.when(bare.rlike("^[0-9a-f]{1,16}$"), F.conv(bare, 16, -10).cast("bigint"))
-
-
 def items(hashes: DataFrame) -> DataFrame:
     """One row an item: its smallest batch and its hashes.
 

@@ -276,7 +276,7 @@ def banded_pivot_pairs(spark: SparkSession, d: str) -> DataFrame:
 def duplicate_scan_full(spark: SparkSession, d: str) -> DataFrame:
     h = read(spark, d, "hashes").where("item_id IS NOT NULL AND path IS NOT NULL")
     chan = F.when(F.col("analysis_type").isin("R", "G", "B", "A"), F.col("analysis_type"))
-    nodes = h.groupBy("path", chan.alias("channel")).agg(F.max(F.lower(F.trim("xxhash"))).alias("hash"), *(F.max(c).alias(c) for c in ("dhash", "phash", "whash")))
+    nodes = h.groupBy("path", chan.alias("channel")).agg(F.max(hashing.content_number(F.col("xxhash"))).alias("hash"), *(F.max(c).alias(c) for c in ("dhash", "phash", "whash")))
     nothing = {c: F.lit(None).cast(t) for c, t in (("resolution_w", "int"), ("resolution_h", "int"), ("file_size", "bigint"), ("capture_date", "double"))}
     whole = nodes.withColumns(nothing).withColumn("format_str", F.upper(F.regexp_extract("path", r"\.([^.]+)$", 1)))
     return duplicate_scan(ScanConfig("/"), whole, nodes).select("path", "channel", "group_id", "is_best", "distance", "found_by")
