@@ -18,6 +18,12 @@ def norm(a: Column) -> Column:
     return F.sqrt(_sum(F.transform(a, lambda x: x.cast("double") * x.cast("double"))))
 
 
+def usable(a: Column, dim: int) -> Column:
+    """Whether a vector has ``dim`` finite numbers, not all of them zero."""
+    finite = F.forall(a, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
+    return F.coalesce((F.size(a) == dim) & finite & F.exists(a, lambda x: x != 0), F.lit(False))
+
+
 def l2_normalize(a: Column) -> Column:
     """Unit vector; a zero vector stays as it is."""
     n = norm(a)

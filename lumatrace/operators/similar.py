@@ -17,6 +17,7 @@ INDEX_THRESHOLD = 50_000
 LINK_NEIGHBOURS = 50
 SEARCH_TOP = 10_000
 FIT_ROWS = 20_000
+PER_SHARD = 16_000
 
 
 def vector_search(vectors: DataFrame, query: Sequence[float], max_distance: float, top: int = SEARCH_TOP, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -27,7 +28,7 @@ def vector_search(vectors: DataFrame, query: Sequence[float], max_distance: floa
     return ranked.orderBy("distance", id_col).limit(top).where(F.col("distance") < max_distance)
 
 
-def _block_neighbours(block: int):
+def _block_neighbours(block: int, most: float = np.inf):
     def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"id": [], "other": [], "distance": []}).astype({"id": "int64", "other": "int64"})
@@ -38,7 +39,7 @@ def _block_neighbours(block: int):
             d = np.round(1 - a[s : s + 512] @ b.T, 6) + 0.0
             k = min(block, d.shape[1])
             edge = np.partition(d, k - 1, axis=1)[:, k - 1 : k]
-            i, j = np.nonzero(d <= edge)
+            i, j = np.nonzero((d <= edge) & (d <= most))
             ids.append(left["id"].to_numpy()[s + i])
             others.append(right["id"].to_numpy()[j])
             dist.append(d[i, j])
@@ -47,8 +48,8 @@ def _block_neighbours(block: int):
     return run
 
 
-def knn_exact(vectors: DataFrame, k: int = LINK_NEIGHBOURS, id_col: str = "vec_id", vec_col: str = "embedding", per_block: int = 4_000) -> DataFrame:
-    """``id, other, distance, rank``: the k nearest of each row, itself included, by matrix products of blocks.
+def knn_exact(vectors: DataFrame, k: int = LINK_NEIGHBOURS, id_col: str = "vec_id", vec_col: str = "embedding", per_block: int = 4_000, max_distance: float = np.inf) -> DataFrame:
+    """``id, other, distance, rank``: the k nearest of each row, itself included, by matrix products of blocks; of these the ones up to ``max_distance``.
 
     Rows are hashed into blocks and every pair of blocks is one task, so this is
     the exact path for tables below ``INDEX_THRESHOLD``; above, use :func:`probe`. Zero and null vectors take no part.
@@ -59,7 +60,7 @@ def knn_exact(vectors: DataFrame, k: int = LINK_NEIGHBOURS, id_col: str = "vec_i
     other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     left = usable.withColumn("x", at).withColumn("y", other)
     right = usable.withColumn("y", at).withColumn("x", other)
-    near = left.groupBy("x", "y").cogroup(right.groupBy("x", "y")).applyInPandas(_block_neighbours(k), "id bigint, other bigint, distance double")
+    near = left.groupBy("x", "y").cogroup(right.groupBy("x", "y")).applyInPandas(_block_neighbours(k, max_distance), "id bigint, other bigint, distance double")
     w = Window.partitionBy("id").orderBy("distance", "other")
     return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
@@ -97,20 +98,62 @@ def fit_cells(vectors: DataFrame, cells: int, vec_col: str = "embedding", fit_ro
     return c
 
 
-def probe(vectors: DataFrame, centroids: np.ndarray, k: int = LINK_NEIGHBOURS, probes: int = 20, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """``id, other, distance, rank`` by searching the ``probes`` nearest cells of each row and comparing exactly there."""
+def _shards(centroids: np.ndarray, shards: int) -> np.ndarray:
+    """Shard of each cell; cells that lie alike along the widest direction share one."""
+    along = centroids @ np.linalg.svd(centroids - centroids.mean(axis=0), full_matrices=False)[2][0]
+    out = np.empty(len(centroids), dtype=np.int32)
+    out[np.argsort(along, kind="stable")] = np.arange(len(centroids)) * shards // len(centroids)
+    return out
+
+
+def _cell_neighbours(k: int, most: float):
+    one = _block_neighbours(k, most)
+
+    def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        found = [one(key, left[:0], right[:0])]
+        if len(left) and len(right):
+            cells = np.concatenate(left["cells"].to_numpy())
+            row = np.repeat(np.arange(len(left)), left["cells"].map(len))
+            order = np.argsort(cells, kind="stable")
+            for c, base in right.groupby("cell"):
+                a, b = np.searchsorted(cells[order], [c, c + 1])
+                found.append(one(key, left.iloc[row[order[a:b]]], base))
+        return pd.concat(found, ignore_index=True)
+
+    return run
+
+
+def probe(vectors: DataFrame, centroids: np.ndarray, k: int = LINK_NEIGHBOURS, probes: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", max_distance: float = np.inf, per_shard: int = PER_SHARD) -> DataFrame:
+    """``id, other, distance, rank`` by searching the ``probes`` nearest cells of each row and comparing exactly there.
+
+    Cells are held in shards of about ``per_shard`` rows, so that a row travels once
+    to each shard it probes. Only neighbours up to ``max_distance`` are kept.
+    """
     probes = min(probes, len(centroids))
+    usable = vectors.where(F.col(vec_col).isNotNull() & F.exists(vec_col, lambda x: x != 0)).select(F.col(id_col).alias("id"), F.col(vec_col).alias("v"))
+    shard_of = _shards(centroids, min(len(centroids), max(1, -(-usable.count() // per_shard))))
 
-    def cells(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def nearest(f: pd.DataFrame) -> np.ndarray:
+        x = np.stack(f["v"].to_numpy()).astype(np.float64)
+        return np.argsort(-(x @ centroids.T), axis=1)[:, :probes].astype(np.int32)
+
+    def base(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            x = np.stack(f["v"].to_numpy()).astype(np.float64)
-            near = np.argsort(-(x @ centroids.T), axis=1)[:, :probes]
-            yield pd.DataFrame({"id": f["id"], "v": f["v"], "cells": list(near.astype(np.int32))})
+            if len(f):
+                cell = nearest(f)[:, 0]
+                yield pd.DataFrame({"id": f["id"], "v": f["v"], "x": shard_of[cell], "cell": cell})
 
-    usable = vectors.where(F.col(vec_col).isNotNull() & F.exists(vec_col, lambda x: x != 0)).select(F.col(id_col).alias("id"), F.col(vec_col).alias("v"))
-    filed = usable.mapInPandas(cells, f"id bigint, v {vectors.schema[vec_col].dataType.simpleString()}, cells array<int>")
-    base = filed.select("id", "v", F.col("cells")[0].alias("x"))
-    asked = filed.select("id", "v", F.explode("cells").alias("x"))
-    near = asked.groupBy("x").cogroup(base.groupBy("x")).applyInPandas(_block_neighbours(k), "id bigint, other bigint, distance double")
+    def asked(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            if len(f):
+                near = nearest(f)
+                at = shard_of[near]
+                for x in np.unique(at):
+                    rows = np.flatnonzero((at == x).any(axis=1))
+                    yield pd.DataFrame({"id": f["id"].to_numpy()[rows], "v": f["v"].to_numpy()[rows], "x": x, "cells": [near[r][at[r] == x] for r in rows]})
+
+    row = f"id bigint, v {vectors.schema[vec_col].dataType.simpleString()}, x int"
+    left, right = usable.mapInPandas(asked, f"{row}, cells array<int>"), usable.mapInPandas(base, f"{row}, cell int")
+    near = left.groupBy("x").cogroup(right.groupBy("x")).applyInPandas(_cell_neighbours(k, max_distance), "id bigint, other bigint, distance double")
     w = Window.partitionBy("id").orderBy("distance", "other")
     return near.distinct().withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

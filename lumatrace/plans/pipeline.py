@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import vectors as vec
 from ..operators import bands, clusters, exact, similar
 from .config import ScanConfig
 from .scratch import materialize
@@ -58,6 +59,27 @@ def duplicate_scan(config: ScanConfig, files: DataFrame, hashes: DataFrame | Non
     return clusters.result_rows(groups, files)
 
 
+def vector_links(config: ScanConfig, vectors: DataFrame, dim: int) -> DataFrame:
+    """Evidence rows of neighbours within the threshold of similarity, from rows (item_id, path, channel, vector).
+
+    An item counts once. Below ``INDEX_THRESHOLD`` items all are compared; above,
+    each searches as many cells as the precision says, and distances there are exact.
+    """
+    c = config.validate()
+    most = round(1 - c.similarity / 100, 6)
+    rows = vectors.where(F.col("item_id").isNotNull() & F.col("path").isNotNull() & vec.usable(F.col("vector"), dim))
+    one = materialize(rows.groupBy("item_id").agg(F.min(F.struct("path", "channel", "vector")).alias("r")).select("item_id", "r.*"), "vectors")
+    n = one.count()
+    if n < similar.INDEX_THRESHOLD:
+        near = similar.knn_exact(one, similar.LINK_NEIGHBOURS, "item_id", "vector", max_distance=most)
+    else:
+        cells = similar.fit_cells(one, similar.partitions_for(n), "vector")
+        near = similar.probe(one, cells, similar.LINK_NEIGHBOURS, similar.PRESETS[c.precision][0], "item_id", "vector", most)
+    end = lambda i, x: one.select(F.col("item_id").alias(x), F.col("path").alias(f"path{i}"), F.col("channel").alias(f"channel{i}"))
+    pairs = similar.link_pairs(near, most).join(end(1, "id_a"), "id_a").join(end(2, "id_b"), "id_b")
+    return pairs.select("path1", "channel1", "path2", "channel2", F.lit("AI").alias("method"), "distance")
+
+
 def search(config: ScanConfig, vectors: DataFrame, query: list[float], query_row: DataFrame, id_col: str = "path", vec_col: str = "vector") -> DataFrame:
     """Result rows of a text or sample search: the query and what lies below the distance threshold among its nearest."""
     c = config.validate()

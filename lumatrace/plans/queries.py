@@ -19,7 +19,7 @@ from ..sources import files as src
 from ..sources.tables import with_defaults
 from ..streaming.discovery import arrivals as arrivals_by_window
 from .config import ScanConfig
-from .pipeline import duplicate_scan
+from .pipeline import duplicate_scan, vector_links
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -277,9 +277,20 @@ def duplicate_scan_full(spark: SparkSession, d: str) -> DataFrame:
     h = read(spark, d, "hashes").where("item_id IS NOT NULL AND path IS NOT NULL")
     chan = F.when(F.col("analysis_type").isin("R", "G", "B", "A"), F.col("analysis_type"))
     nodes = h.groupBy("path", chan.alias("channel")).agg(F.max(hashing.content_number(F.col("xxhash"))).alias("hash"), *(F.max(c).alias(c) for c in ("dhash", "phash", "whash")))
-    nothing = {c: F.lit(None).cast(t) for c, t in (("resolution_w", "int"), ("resolution_h", "int"), ("file_size", "bigint"), ("capture_date", "double"))}
-    whole = nodes.withColumns(nothing).withColumn("format_str", F.upper(F.regexp_extract("path", r"\.([^.]+)$", 1)))
-    return duplicate_scan(ScanConfig("/"), whole, nodes).select("path", "channel", "group_id", "is_best", "distance", "found_by")
+    prints = read(spark, d, "fingerprints").where("item_id IS NOT NULL AND path IS NOT NULL")
+    whole = nodes.join(_print_metadata(prints), "path", "left").withColumn("format_str", F.coalesce("format_str", F.upper(F.regexp_extract("path", r"\.([^.]+)$", 1))))
+    config = ScanConfig("/", use_ai=True)
+    return duplicate_scan(config, whole, nodes, vector_links(config, prints, 96)).select("path", "channel", "group_id", "is_best", "distance", "found_by")
+
+
+def _print_metadata(prints: DataFrame) -> DataFrame:
+    """Metadata of each file as far as any of its rows has it."""
+    size = F.struct((F.col("resolution_w").cast("bigint") * F.col("resolution_h")).alias("n"), F.col("resolution_w").alias("w"), F.col("resolution_h").alias("h"))
+    of = prints.groupBy("path").agg(
+        F.max(F.when((F.col("resolution_w") > 0) & (F.col("resolution_h") > 0), size)).alias("size"), F.max(F.when(F.col("file_size") > 0, F.col("file_size"))).alias("file_size"),
+        F.max("capture_date").alias("capture_date"), F.max("format_str").alias("format_str"),
+    )
+    return of.select("path", F.col("size.w").alias("resolution_w"), F.col("size.h").alias("resolution_h"), "file_size", "capture_date", "format_str")
 
 
 # --- vectors ------------------------------------------------------------------

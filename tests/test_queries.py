@@ -1,8 +1,13 @@
 """Registered queries on small tables of their own."""
 
-from lumatrace.plans import queries
+import numpy as np
+
+from lumatrace.operators import similar
+from lumatrace.plans import pipeline, queries
+from lumatrace.plans.config import ScanConfig
 
 HASHES = "item_id bigint, path string, analysis_type string, dhash bigint, phash bigint, whash bigint, xxhash string"
+PRINTS = "item_id bigint, path string, channel string, vector array<float>, resolution_w int, resolution_h int, file_size bigint, capture_date double, format_str string"
 
 
 def table(spark, d, name, rows, schema):
@@ -13,6 +18,35 @@ def table(spark, d, name, rows, schema):
 def test_full_scan_takes_content_hashes_as_numbers(spark, tmp_path):
     texts = ["0xAB12", "ab12", "\tAB12 ", "00ab12", "0x", None, "ab13"]
     rows = [(i, f"/a/f{i}.png", "Composite", None, None, None, x) for i, x in enumerate(texts)]
+    table(spark, tmp_path, "fingerprints", [], PRINTS)
     d = table(spark, tmp_path, "hashes", rows, HASHES)
     out = queries.duplicate_scan_full(spark, d).collect()
     assert {r.path for r in out} == {f"/a/f{i}.png" for i in range(4)} and {r.group_id for r in out} == {1}
+
+
+def test_full_scan_groups_by_vectors_and_leads_by_metadata(spark, tmp_path):
+    axis = lambda i, more=0.0: [float(j == i) + more * (j == 50) for j in range(96)]
+    vectors = [axis(0), axis(0, 0.2), axis(1), axis(0)[:48], [0.0] * 96, [float("nan")] * 96, None, axis(2), axis(2)]
+    channels = [None, None, None, None, None, None, None, "R", "R"]
+    rows = [(i, f"/a/f{i}.png", c or "Composite", None, None, None, None) for i, c in enumerate(channels)]
+    prints = [(i, f"/a/f{i}.png", c, v, 10 * (i % 2 + 1), 10, 100, None, "PNG") for i, (c, v) in enumerate(zip(channels, vectors))]
+    prints.append((1, "/a/f1.png", None, vectors[1], None, 0, None, None, None))
+    table(spark, tmp_path, "hashes", rows, HASHES)
+    d = table(spark, tmp_path, "fingerprints", prints, PRINTS)
+    got = {(r.path, r.channel): (r.is_best, r.found_by, r.distance) for r in queries.duplicate_scan_full(spark, d).collect()}
+    assert got == {("/a/f1.png", None): (True, "Best", 0), ("/a/f0.png", None): (False, "AI", 98), ("/a/f7.png", "R"): (True, "Best", 0), ("/a/f8.png", "R"): (False, "AI", 100)}
+
+
+def test_precision_sets_the_cells_searched(spark, monkeypatch):
+    x = np.random.default_rng(3).normal(size=(600, 8))
+    df = spark.createDataFrame([(i, f"/f{i}", None, [float(z) for z in v]) for i, v in enumerate(x)], "item_id bigint, path string, channel string, vector array<float>")
+
+    def links(precision):
+        return {(r.path1, r.path2): r.distance for r in pipeline.vector_links(ScanConfig("/", similarity=70, precision=precision), df, 8).collect()}
+
+    exact = links("fast")
+    monkeypatch.setattr(similar, "INDEX_THRESHOLD", 0)
+    monkeypatch.setattr(similar.probe, "__defaults__", (*similar.probe.__defaults__[:-1], 100))
+    few, all_cells = links("fast"), links("exhaustive")
+    assert len(exact) > 500 and all_cells == exact
+    assert set(few) < set(exact)
