@@ -327,6 +327,22 @@ def sample_search_group(spark: SparkSession, d: str) -> DataFrame:
     return clusters.search_group(spark.createDataFrame([("Query: sample",)], "path string"), hits)
 
 
+# The two queries above keep the LIMIT of their SQL; these have the operator's own, SEARCH_TOP.
+SEARCH_WHOLE = SEARCH.replace("LIMIT 100)", f"LIMIT {similar.SEARCH_TOP})")
+
+
+@query(f"{SEARCH_WHOLE} SELECT vec_id, distance FROM t WHERE distance < 0.9")
+def vector_search_whole(spark: SparkSession, d: str) -> DataFrame:
+    return similar.vector_search(read(spark, d, "embeddings"), _query_vector(spark, d), 0.9)
+
+
+@query(f"""{SEARCH_WHOLE} SELECT 'Query: sample' AS path, 1::BIGINT AS group_id, true AS is_best, 0 AS distance, 'Query' AS found_by
+    UNION ALL SELECT vec_id::VARCHAR, 1, false, floor(round(greatest(0, 1 - distance) * 100, 6))::INT, 'AI' FROM t WHERE distance < 0.9""")
+def sample_search_whole(spark: SparkSession, d: str) -> DataFrame:
+    hits = vector_search_whole(spark, d).select(F.col("vec_id").cast("string").alias("path"), "distance")
+    return clusters.search_group(spark.createDataFrame([("Query: sample",)], "path string"), hits)
+
+
 @query()
 def ivf_probe(spark: SparkSession, d: str) -> DataFrame:
     e = read(spark, d, "embeddings")

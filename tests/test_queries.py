@@ -50,3 +50,11 @@ def test_precision_sets_the_cells_searched(spark, monkeypatch):
     few, all_cells = links("fast"), links("exhaustive")
     assert len(exact) > 500 and all_cells == exact
     assert set(few) < set(exact)
+
+
+def test_search_returns_all_below_the_threshold(spark, tmp_path):
+    rows = [(i, [1.0, 0.004 * i]) for i in range(250)] + [(999, [-1.0, 0.0])]
+    d = table(spark, tmp_path, "embeddings", rows, "vec_id bigint, embedding array<float>")
+    assert {r.vec_id for r in queries.vector_search_whole(spark, d).collect()} == set(range(250))
+    assert queries.sample_search_whole(spark, d).count() == 251
+    assert "LIMIT 10000)" in queries.SQL["vector_search_whole"]
