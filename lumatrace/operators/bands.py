@@ -31,3 +31,37 @@ def banded_pairs(hashes: DataFrame, id_col: str, hash_col: str, max_bits: int, m
         met = left.join(right, ["band", "key"])
     near = met.where("id_a < id_b").withColumn("bits", hamming(F.col("h_a"), F.col("h_b"))).where(F.col("bits") <= max_bits)
     return near.select("id_a", "id_b", "bits").distinct()
+
+
+def whole_pairs(hashes: DataFrame, id_col: str, hash_col: str, max_bits: int) -> DataFrame:
+    """``id_a, id_b, bits`` of all distinct hashes, each under its smallest id, that differ in at most ``max_bits`` bits; none is missed.
+
+    Of ``max_bits // 2 + 1`` parts, the last few equal or one of the others differing
+    in one bit at most is what any such pair has. Parts that differ in a bit meet
+    where the one that has it set is filed without it.
+    """
+    rows = hashes.where(F.col(hash_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(hash_col).alias("h")).agg(F.min(id_col).alias("id"))
+    parts = max_bits // 2 + 1
+    loose = max_bits - parts + 1
+    cuts = [64 * i // parts for i in range(parts + 1)]
+    filed, asked = [], []
+    for i, (low, high) in enumerate(zip(cuts, cuts[1:])):
+        key = F.shiftrightunsigned("h", low).bitwiseAND((1 << min(63, high - low)) - 1 if high - low < 64 else -1)
+        at = lambda k, i=i: F.struct(F.lit(i).alias("part"), k.alias("key"))
+        filed.append(at(key))
+        asked.append(at(key))
+        if i < loose:
+            asked += [F.when(key.bitwiseAND(1 << b) != 0, at(key.bitwiseXOR(F.lit(1 << b).cast("bigint")))) for b in range(high - low)]
+    base = rows.select("id", "h", F.explode(F.array(*filed)).alias("at")).select("at.part", "at.key", F.col("id").alias("x"), F.col("h").alias("g"))
+    probes = rows.select("id", "h", F.explode(F.array(*asked)).alias("at")).where("at IS NOT NULL").select("at.part", "at.key", "id", "h")
+    near = probes.join(base, ["part", "key"]).withColumn("bits", hamming(F.col("h"), F.col("g"))).where((F.col("id") != F.col("x")) & (F.col("bits") <= max_bits))
+    return near.select(F.least("id", "x").alias("id_a"), F.greatest("id", "x").alias("id_b"), "bits").distinct()
+
+
+def class_members(hashes: DataFrame, pairs: DataFrame, id_col: str, hash_col: str) -> DataFrame:
+    """``item_id, rep, links``: each item with the one compared for all of its hash, and the number of near hashes in ``pairs`` of such representatives."""
+    rows = hashes.where(F.col(hash_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("item_id"), F.col(hash_col).alias("h")).distinct()
+    reps = rows.groupBy("h").agg(F.min("item_id").alias("rep"))
+    ends = pairs.select(F.col("id_a").alias("rep")).unionAll(pairs.select("id_b")).groupBy("rep").agg(F.count("*").alias("links"))
+    linked = reps.join(ends, "rep", "left").withColumn("links", F.coalesce("links", F.lit(0)))
+    return rows.join(linked, "h").select("item_id", "rep", "links")

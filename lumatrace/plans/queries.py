@@ -20,6 +20,7 @@ from ..sources.tables import with_defaults
 from ..streaming.discovery import arrivals as arrivals_by_window
 from .config import ScanConfig
 from .pipeline import duplicate_scan, vector_links
+from .scratch import materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -264,6 +265,17 @@ def hamming_pairs(spark: SparkSession, d: str) -> DataFrame:
     return bands.banded_pairs(read(spark, d, "hashes"), "item_id", "phash", 3, mode="all_pairs")
 
 
+@query()
+def hamming_pairs_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of representatives at the configured threshold; :func:`hamming_classes` has whom they stand for."""
+    return bands.whole_pairs(read(spark, d, "hashes"), "item_id", "phash", ScanConfig("/").phash_bits)
+
+
+@query()
+def hamming_classes(spark: SparkSession, d: str) -> DataFrame:
+    return bands.class_members(read(spark, d, "hashes"), materialize(hamming_pairs_whole(spark, d), "pairs"), "item_id", "phash")
+
+
 @query("""
     WITH f AS (SELECT item_id AS id, dhash AS h, b, (dhash >> (16 * b)) & 65535 AS k FROM hashes, (SELECT unnest([0, 1, 2, 3]) AS b) WHERE dhash IS NOT NULL),
     p AS (SELECT b, k, min((id, h)) AS p FROM f GROUP BY b, k)

@@ -1,5 +1,8 @@
 """Registered queries on small tables of their own."""
 
+import random
+from collections import Counter
+
 import numpy as np
 
 from lumatrace.operators import similar
@@ -58,3 +61,21 @@ def test_search_returns_all_below_the_threshold(spark, tmp_path):
     assert {r.vec_id for r in queries.vector_search_whole(spark, d).collect()} == set(range(250))
     assert queries.sample_search_whole(spark, d).count() == 251
     assert "LIMIT 10000)" in queries.SQL["vector_search_whole"]
+
+
+def test_hamming_classes_hold_every_item_and_all_near_hashes(spark, tmp_path):
+    rng = random.Random(4)
+    hashes = [rng.getrandbits(63) for _ in range(40)]
+    hashes += [h ^ sum(1 << b for b in rng.sample(range(64), n)) for h in hashes for n in (2, 5, 8, 9)]
+    hashes = [h - (h >> 63 << 64) for h in hashes]
+    hashes += hashes[::3]
+    rows = [(i, f"/f{i}", "Composite", None, h, None, None) for i, h in enumerate(hashes)] + [(0, "/f0", "Composite", None, hashes[0], None, None), (900, "/n", "R", None, None, None, None)]
+    d = table(spark, tmp_path, "hashes", rows, HASHES)
+    rep = {}
+    for i, h in enumerate(hashes):
+        rep.setdefault(h, i)
+    near = {(i, j): ((h ^ g) & (1 << 64) - 1).bit_count() for h, i in rep.items() for g, j in rep.items() if i < j and ((h ^ g) & (1 << 64) - 1).bit_count() <= 8}
+    assert {(r.id_a, r.id_b): r.bits for r in queries.hamming_pairs_whole(spark, d).collect()} == near and max(near.values()) == 8
+    links = Counter(i for p in near for i in p)
+    got = [tuple(r) for r in queries.hamming_classes(spark, d).collect()]
+    assert sorted(got) == sorted((i, rep[h], links[rep[h]]) for i, h in enumerate(hashes))
