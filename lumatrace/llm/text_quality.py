@@ -23,6 +23,9 @@ from pyspark.sql import functions as F
 from ..plans.scratch import materialize
 
 STATS = ["common_share", "clause_share", "mean_word_length", "symbol_share", "digit_share", "distinct_share", "listed_share"]
+#: what a text's own shares are made of; sums over its passages
+COUNTS = ["common", "clause", "letters", "signs", "digits", "solid", "fresh", "listed", "lines"]
+SHARES = [("common", "words"), ("clause", "words"), ("letters", "words"), ("signs", "solid"), ("digits", "solid"), ("fresh", "words"), ("listed", "lines")]
 LEAST_WORDS, MOST_WORDS = 30, 60
 STEPS = 5
 #: 0.99 and 1 - 1e-8 quantiles of the chi-square distribution with seven degrees of freedom
@@ -87,8 +90,14 @@ def passages(text: str) -> Iterator[str]:
         yield "\n".join(held)
 
 
-def _passage_stats(text: str, known: dict[str, tuple[int, int]], languages: list[str], declared: str) -> tuple:
-    """``known``: word -> bits of the languages in which it is common, bits of those in which it shows a clause."""
+def _listed(text: str) -> tuple[int, int]:
+    """Lines that are list items or have columns, and all lines."""
+    lines = [x for x in text.splitlines() if x.strip()]
+    return sum(BULLET.match(x) is not None or COLUMNS.search(x) is not None for x in lines), len(lines)
+
+
+def _passage_stats(text: str, known: dict[str, tuple[int, int]], languages: list[str], declared: str, met: set[str]) -> tuple:
+    """``met``: words of the text's earlier passages, to which this one's are added. ``known``: word -> bits of the languages in which it is common, bits of those in which it shows a clause."""
     text, chars = PATH.sub("file", text), len(text)
     tokens = TOKEN.findall(text.lower())
     n = max(1, len(tokens))
@@ -98,14 +107,16 @@ def _passage_stats(text: str, known: dict[str, tuple[int, int]], languages: list
         hits = sum(m[0] >> i & 1 for m in seen)
         if hits > best or (hits == best and code == declared):
             best, lang, joined = hits, code, sum(m[1] >> i & 1 for m in seen)
-    lines = [x for x in text.splitlines() if x.strip()]
-    listed = sum(BULLET.match(x) is not None or COLUMNS.search(x) is not None for x in lines)
-    size = max(1, sum(map(len, text.split())))
+    listed, lines = _listed(text)
+    solid = sum(map(len, text.split()))
+    size = max(1, solid)
+    own, before, letters = set(tokens), len(met), sum(map(len, tokens))
+    met |= own
     digits, signs = len(DIGIT.findall(text)), len(SIGN.findall(text))
-    return (lang, chars, len(tokens), max(best, 0) / n, joined / n, min(30.0, sum(map(len, tokens)) / n), signs / size, digits / size, len(set(tokens)) / n, listed / max(1, len(lines)))
+    return (lang, chars, len(tokens), max(best, 0) / n, joined / n, min(30.0, letters / n), signs / size, digits / size, len(own) / n, listed / max(1, lines), max(best, 0), joined, letters, signs, digits, solid, len(met) - before, listed, lines)
 
 
-UNIT_SCHEMA = "doc_id bigint, lang string, chars bigint, words bigint, " + ", ".join(f"{s} double" for s in STATS)
+UNIT_SCHEMA = "doc_id bigint, lang string, chars bigint, words bigint, " + ", ".join([*(f"{s} double" for s in STATS), *(f"{c} bigint" for c in COUNTS)])
 
 
 def _language(col: Column) -> Column:
@@ -126,12 +137,15 @@ def passage_stats(documents: DataFrame, common_words: dict[str, frozenset[str]])
         for b in batches:
             ids, rows = [], []
             for doc, text, lang in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("lang").to_pylist()):
-                for p in passages(text):
-                    ids.append(doc)
-                    rows.append(_passage_stats(p, known, languages, lang))
-            cols = list(zip(*rows)) if rows else [[] for _ in range(3 + len(STATS))]
-            types = [pa.string(), pa.int64(), pa.int64(), *[pa.float64()] * len(STATS)]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(c, t) for c, t in zip(cols, types))], names=["doc_id", "lang", "chars", "words", *STATS])
+                met: set[str] = set()
+                own = [_passage_stats(p, known, languages, lang, met) for p in passages(text)]
+                if own and max(map(len, text.splitlines())) >= 2 * MOST_WORDS:  # a line may have been cut: count the text's own
+                    own = [(*x[:-2], *(_listed(PATH.sub("file", text)) if i == 0 else (0, 0))) for i, x in enumerate(own)]
+                ids += [doc] * len(own)
+                rows += own
+            cols = list(zip(*rows)) if rows else [[] for _ in range(3 + len(STATS) + len(COUNTS))]
+            types = [pa.string(), pa.int64(), pa.int64(), *[pa.float64()] * len(STATS), *[pa.int64()] * len(COUNTS)]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(c, t) for c, t in zip(cols, types))], names=["doc_id", "lang", "chars", "words", *STATS, *COUNTS])
 
     texts = documents.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", _language(F.col("lang")).alias("lang"))
     return texts.mapInArrow(stats, UNIT_SCHEMA)
@@ -256,14 +270,15 @@ def judged_passages(documents: DataFrame, common_words: DataFrame) -> DataFrame:
 def text_quality(documents: DataFrame, common_words: DataFrame) -> DataFrame:
     """One row a document: its statistics, distance, contributions, ``odd_share`` and ``is_prose``.
 
+    Statistics are those of the whole text: words by words, signs and digits by its
+    solid characters, list items by lines; a share of nothing is null.
     ``odd_share`` is the share of its characters in outlying passages; distance
     and contributions are means over its passages weighted by characters. A null or
     blank text has no passages: counts 0, shares null, not prose. Rows without an id are left out.
     """
     by_doc = judged_passages(documents, common_words)
     weighted = [(F.sum(F.col(c) * F.col("chars")) / F.sum("chars")).alias(c) for c in ["distance", *(f"by_{s}" for s in STATS)]]
-    n_words = F.sum("words")
-    shares = [(F.sum(F.col(s) * F.col("words")) / F.when(n_words > 0, n_words)).alias(s) for s in STATS]
+    shares = [(F.sum(n) / F.when(F.sum(of) > 0, F.sum(of))).alias(s) for s, (n, of) in zip(STATS, SHARES)]
     agg = by_doc.groupBy("doc_id").agg(
         F.sum("words").alias("word_count"), *shares, *weighted, (F.sum(F.when(F.col("outlying"), F.col("chars")).otherwise(0)) / F.sum("chars")).alias("odd_share")
     )

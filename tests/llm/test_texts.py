@@ -139,3 +139,22 @@ def test_passages_hold_the_whole_text():
     text = (PROSE * 40 + "\n" + "a b\n" * 50 + "=" * 300 + "\n") * 2
     joined = "".join("".join(text_quality.passages(text)).split())
     assert joined == "".join(text.split())
+
+
+def test_shares_are_those_of_the_whole_text(spark):
+    words = spark.createDataFrame([("en", w) for w in ("we", "the", "it", "is", "and", "was", "not", "when")], "lang string, word string")
+    signs, digits = "=" * 3000, "7" * 10
+    texts = [signs, PROSE * 3 + "\n" + signs, (PROSE * 8).strip(), "\n".join(f"- {x}" for x in PROSE.split()) + "\n" + "=" * 50, PROSE * 20 + "\n- one\n" + digits]
+    q = {r.doc_id: r for r in text_quality.text_quality(docs(spark, texts), words).collect()}
+    token = re.compile(r"\w+(?:['’]\w+)?")
+    for i, x in enumerate(texts):
+        solid, tokens = len("".join(x.split())), token.findall(x.lower())
+        assert q[i].symbol_share == pytest.approx(len(re.findall(r"[^\w\s]|_", x)) / solid)
+        assert q[i].digit_share == pytest.approx(len(re.findall(r"\d", x)) / solid)
+        if not tokens:
+            assert q[i].distinct_share is None and q[i].mean_word_length is None
+            continue
+        assert q[i].distinct_share == pytest.approx(len(set(tokens)) / len(tokens))
+        assert q[i].mean_word_length == pytest.approx(sum(map(len, tokens)) / len(tokens))
+    assert q[0].symbol_share == 1.0
+    assert q[3].listed_share == pytest.approx(len(PROSE.split()) / (len(PROSE.split()) + 1)) and q[4].listed_share == pytest.approx(1 / 3)
