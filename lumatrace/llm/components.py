@@ -7,9 +7,11 @@ column of cells are then exchanged: the smallest becomes its parent, parents
 jump once, and the ties between representatives are the edges of the next,
 smaller round. The rounds end when no edge is left, which is when all parents
 are stable; the maps of the rounds are then composed backwards. The grid has as many
-blocks as make a cell about CELL edges, so once few edges are left the grid is
-one cell and the next round is the last. Vertex ids are hashes, so the smallest
-id is a random priority and paths shrink geometrically.
+blocks as make a cell about CELL edges; all edges meet first in a grid of at least
+BLOCKS blocks, and only what rounds have shrunk to CELL edges is one cell. Vertex ids are
+hashes, so the smallest id is a random priority and paths shrink geometrically. A
+representative of a giant component is a hot key of the exchange; such keys are
+looked up by :func:`_lookup`, which leaves their rows where they are.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ from ..plans.scratch import materialize
 from ..plans.skew import join_counted
 
 CELL = 500_000
+BLOCKS = 4
 
 
 def local_roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -47,18 +50,24 @@ def local_roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ids[below], ids[parent[below]]
 
 
-def _cells(edges: DataFrame, blocks: int, n: int) -> DataFrame:
+def _cells(edges: DataFrame, blocks: int) -> DataFrame:
+    """``a, b, cell, part``: a cell that holds over four times CELL edges, as hubs make it, is cut into parts by its edges.
+
+    The broadcast table has one row for each such cell, so at most one for two million edges.
+    """
     side = lambda c: F.pmod(F.xxhash64(F.col(c), F.lit(17)), F.lit(blocks))
     x, y = side("a"), side("b")
-    celled = edges.withColumn("cell", F.least(x, y) * F.lit(blocks) + F.greatest(x, y)).withColumn("part", F.lit(0).cast("bigint"))
+    celled = edges.withColumn("cell", F.least(x, y) * F.lit(blocks) + F.greatest(x, y))
     if blocks == 1:
-        return celled
-    limit = max(4 * CELL, n // 1000)  # at most 1000 cells can have more edges than that
-    hot = {r.cell: -(-r.n // CELL) for r in celled.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > limit).collect()}
-    if not hot:
-        return celled
-    parts = F.coalesce(F.create_map(*[F.lit(z) for kv in hot.items() for z in kv])[F.col("cell")], F.lit(1))
-    return celled.withColumn("part", F.pmod(F.xxhash64("a", "b"), parts))
+        return celled.withColumn("part", F.lit(0).cast("bigint"))
+    hot = celled.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > 4 * CELL).select("cell", F.ceil(F.col("n") / CELL).alias("parts"))
+    return celled.join(F.broadcast(hot), "cell", "left").select("a", "b", "cell", F.pmod(F.xxhash64("a", "b"), F.coalesce("parts", F.lit(1))).alias("part"))
+
+
+def _lookup(rows: DataFrame, key: str, table: DataFrame, value: str, total: int) -> DataFrame:
+    """``rows`` with ``value``: that of ``table``, which has one row a ``key``, or the key itself where it has none."""
+    of = rows.groupBy(key).agg(F.count("*").alias("_n")).join(table, key, "left").select(key, F.coalesce(value, key).alias(value), "_n")
+    return join_counted(rows, of, key, "_n", total)
 
 
 def _unite(table: pa.Table) -> pa.Table:
@@ -75,36 +84,36 @@ def grid_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     left = materialize(
         edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).select(tie(F.col(a), F.col(b)).alias("e")).select("e.a", "e.b").distinct(), "edges"
     )
-    levels: list[DataFrame] = []
+    levels: list[tuple[DataFrame, int]] = []
     while n := left.count():
-        blocks = max(1, math.ceil(math.sqrt(2 * n / CELL))) if n > CELL else 1
-        forest = materialize(_cells(left, blocks, n).groupBy("cell", "part").applyInArrow(_unite, "v bigint, r bigint"), "forest")
+        blocks = max(1 if levels else BLOCKS, math.ceil(math.sqrt(2 * n / CELL)) if n > CELL else 1)
+        forest = materialize(_cells(left, blocks).groupBy("cell", "part").applyInArrow(_unite, "v bigint, r bigint"), "forest")
         if blocks == 1:
-            levels.append(forest.select("v", F.col("r").alias("p")))
+            levels.append((forest.select("v", F.col("r").alias("p")), n))
             break
         first = forest.groupBy("v").agg(F.min("r").alias("p"))
         up = first.select(F.col("v").alias("p"), F.col("p").alias("pp"))
-        parent = materialize(first.join(up, "p", "left").select("v", F.coalesce("pp", "p").alias("p")), "parents")
-        levels.append(parent)
+        parent = materialize(_lookup(first, "p", up, "pp", n).select("v", F.col("pp").alias("p")), "parents")
+        levels.append((parent, n))
         of_v = parent.select("v", F.col("p").alias("x"))
         of_r = parent.select(F.col("v").alias("r"), F.col("p").alias("y"))
-        moved = forest.join(of_v, "v").join(of_r, "r", "left").select(F.col("x"), F.coalesce("y", "r").alias("y")).where("x <> y")
+        moved = _lookup(forest.join(of_v, "v"), "r", of_r, "y", n).select("x", "y").where("x <> y")
         left = materialize(moved.select(tie(F.col("x"), F.col("y")).alias("e")).select("e.a", "e.b").distinct(), "edges")
     if not levels:
         return left.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    labels = levels[-1]
-    for parent in reversed(levels[:-1]):
+    labels = levels[-1][0]
+    for parent, n in reversed(levels[:-1]):
         above = labels.select(F.col("v").alias("p"), F.col("p").alias("top"))
-        here = parent.join(above, "p", "left").select("v", F.coalesce("top", "p").alias("p"))
-        labels = materialize(here.unionByName(labels.join(here.select("v"), "v", "left_anti")), "labels")
+        here = _lookup(parent, "p", above, "top", n).select("v", F.col("top").alias("p"))
+        labels = materialize(here.unionByName(labels.join(parent.select("v"), "v", "left_anti")), "labels")
     roots = labels.select(F.col("p").alias("v")).distinct().select("v", F.col("v").alias("p"))
     return labels.unionByName(roots).select(F.col("v").alias("node"), F.col("p").alias("root"))
 
 
 def node_key(path: Column, channel: Column) -> Column:
-    """Text key of a node: the path with forward slashes, a bar and the channel unless it is the composite."""
+    """Text key of a node: the path with forward slashes, then a bar and the channel, or nothing for the composite."""
     plain = channel.isNull() | channel.isin("", "RGB", "Composite")
-    return F.concat(F.translate(path, "\\", "/"), F.lit("|"), F.when(plain, F.lit("")).otherwise(channel))
+    return F.concat(F.translate(path, "\\", "/"), F.when(plain, "").otherwise(F.concat(F.lit("|"), channel)))
 
 
 def match_groups(edges: DataFrame) -> DataFrame:

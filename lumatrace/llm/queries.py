@@ -84,7 +84,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 _TOKENS = r"""coalesce(len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+')), 0)"""
 
-_KEY = "replace(path{n}, chr(92), '/') || '|' || CASE WHEN channel{n} IS NULL OR channel{n} IN ('', 'RGB', 'Composite') THEN '' ELSE channel{n} END"
+_KEY = "replace(path{n}, chr(92), '/') || CASE WHEN channel{n} IS NULL OR channel{n} IN ('', 'RGB', 'Composite') THEN '' ELSE '|' || channel{n} END"
 
 _FILES = """
     SELECT group_id, path,

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from lumatrace.llm import components, survivorship
+from lumatrace.plans.skew import join_counted
 
 EDGES = "path1 string, channel1 string, path2 string, channel2 string, method string, distance double, node string, root string, key string"
 
@@ -21,7 +22,7 @@ def groups_by_hand(rows):
             x = up[x]
         return x
 
-    key = lambda p, c: p.replace("\\", "/") + "|" + ("" if c in (None, "", "RGB", "Composite") else c)
+    key = lambda p, c: p.replace("\\", "/") + ("" if c in (None, "", "RGB", "Composite") else "|" + c)
     for r in rows:
         if r[0] is not None and r[2] is not None:
             a, b = find(key(r[0], r[1])), find(key(r[2], r[3]))
@@ -53,6 +54,20 @@ def test_groups_match_union_find(spark, monkeypatch, cell):
     assert {(r.group_key, r.member_key) for r in got} == groups_by_hand(rows)
 
 
+def test_keys_are_written_as_stated(spark):
+    rows = [("a\\b.png", None, "a/c.png", "R"), ("a/c.png", "R", "d.png", "RGB"), ("d.png", "", "e.png", "Composite"), ("a/b.png", "Luminance", "e.png", "G")]
+    got = components.match_groups(spark.createDataFrame([(*r, "AI", 0.1, "n", "r", "k") for r in rows], EDGES)).collect()
+    assert {tuple(r) for r in got} == {("a/b.png", k) for k in ("a/b.png", "a/c.png|R", "d.png", "e.png")} | {("a/b.png|Luminance", k) for k in ("a/b.png|Luminance", "e.png|G")}
+
+
+def test_hubs_and_giants_are_looked_up_in_place(spark, monkeypatch):
+    monkeypatch.setattr(components, "CELL", 30)
+    monkeypatch.setattr(components, "join_counted", lambda rows, keyed, key, count, total: join_counted(rows, keyed, key, count, total, floor=5))
+    rows = edges(8) + [("hub", "A", f"far{i}", "B", "AI", 0.1, "n", "r", "k") for i in range(300)]
+    got = components.match_groups(spark.createDataFrame(rows, EDGES)).collect()
+    assert {(r.group_key, r.member_key) for r in got} == groups_by_hand(rows)
+
+
 def test_groups_of_nothing(spark):
     assert components.match_groups(spark.createDataFrame([], EDGES)).count() == 0
     assert components.match_groups(spark.createDataFrame([(None,) * 9], EDGES)).count() == 0
