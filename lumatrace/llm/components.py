@@ -28,6 +28,7 @@ from ..plans.skew import join_counted
 
 CELL = 500_000
 BLOCKS = 4
+HOT = 1_000_000
 
 
 def local_roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -65,9 +66,14 @@ def _cells(edges: DataFrame, blocks: int) -> DataFrame:
 
 
 def _lookup(rows: DataFrame, key: str, table: DataFrame, value: str, total: int) -> DataFrame:
-    """``rows`` with ``value``: that of ``table``, which has one row a ``key``, or the key itself where it has none."""
+    """``rows`` with ``value``: that of ``table``, which has one row a ``key``, or the key itself where it has none.
+
+    A key met by over HOT rows of two numbers is not shuffled; it may weigh some 16 MB up to there.
+    """
+    if total <= HOT:
+        return rows.join(table, key, "left").withColumn(value, F.coalesce(value, key))
     of = rows.groupBy(key).agg(F.count("*").alias("_n")).join(table, key, "left").select(key, F.coalesce(value, key).alias(value), "_n")
-    return join_counted(rows, of, key, "_n", total)
+    return join_counted(rows, of, key, "_n", total, HOT)
 
 
 def _unite(table: pa.Table) -> pa.Table:
@@ -125,7 +131,7 @@ def match_groups(edges: DataFrame) -> DataFrame:
     ends = edges.where(F.col("path1").isNotNull() & F.col("path2").isNotNull()).select(
         node_key(F.col("path1"), F.col("channel1")).alias("k1"), node_key(F.col("path2"), F.col("channel2")).alias("k2")
     ).where("k1 <> k2")
-    keys = ends.select(F.col("k1").alias("key")).union(ends.select("k2")).distinct()
+    keys = ends.select(F.explode(F.array("k1", "k2")).alias("key")).distinct()
     salt = 0
     while True:  # ids are 64-bit hashes of the keys; another salt if two keys meet
         nodes = materialize(keys.select(F.xxhash64(F.lit(salt), "key").alias("node"), "key"), "nodes")

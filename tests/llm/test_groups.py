@@ -7,7 +7,6 @@ import numpy as np
 import pytest
 
 from lumatrace.llm import components, survivorship
-from lumatrace.plans.skew import join_counted
 
 EDGES = "path1 string, channel1 string, path2 string, channel2 string, method string, distance double, node string, root string, key string"
 
@@ -62,7 +61,7 @@ def test_keys_are_written_as_stated(spark):
 
 def test_hubs_and_giants_are_looked_up_in_place(spark, monkeypatch):
     monkeypatch.setattr(components, "CELL", 30)
-    monkeypatch.setattr(components, "join_counted", lambda rows, keyed, key, count, total: join_counted(rows, keyed, key, count, total, floor=5))
+    monkeypatch.setattr(components, "HOT", 5)
     rows = edges(8) + [("hub", "A", f"far{i}", "B", "AI", 0.1, "n", "r", "k") for i in range(300)]
     got = components.match_groups(spark.createDataFrame(rows, EDGES)).collect()
     assert {(r.group_key, r.member_key) for r in got} == groups_by_hand(rows)
