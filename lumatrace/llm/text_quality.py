@@ -2,7 +2,7 @@
 
 Method: robust Mahalanobis distance. A text is divided into passages of some
 thirty to sixty words (neighbouring lines of one kind joined, long lines cut). Each passage has a
-vector of statistics. For every language the mean and covariance of prose are
+vector of statistics, among them the word count of its text. For every language the mean and covariance of prose are
 estimated robustly from all passages: median and median deviation first, then concentration
 steps that keep what lies within a quantile of the chi-square distribution.
 The squared distance of a passage from the prose of its language is the sum of one
@@ -12,7 +12,6 @@ hold over half of its characters is no running prose.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,18 +20,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.scratch import materialize
+from .text_scan import LEAST_WORDS, Lexicon, chunks, passage_counts, passages
 
-STATS = ["common_share", "clause_share", "mean_word_length", "symbol_share", "digit_share", "distinct_share", "listed_share"]
+__all__ = ["STATS", "fit_prose", "judged_passages", "not_prose", "passages", "text_quality"]
+
+STATS = ["log_word_count", "mean_word_length", "symbol_share", "closed_line_share", "common_share", "clause_share", "digit_share", "distinct_share", "listed_share"]
+#: variance added to each statistic. For most a little, so that one that hardly varies in prose does not decide alone;
+#: for word count and closed lines as much as their whole range gives, as prose may have any length, lack closing punctuation or be wrapped
+FLOOR = [8.0, 1e-2, 1e-5, 1.0, 1e-4, 1e-4, 1e-5, 1e-4, 1e-2]
 #: what a text's own shares are made of; sums over its passages
-COUNTS = ["common", "clause", "letters", "signs", "digits", "solid", "fresh", "listed", "lines"]
-SHARES = [("common", "words"), ("clause", "words"), ("letters", "words"), ("signs", "solid"), ("digits", "solid"), ("fresh", "words"), ("listed", "lines")]
-LEAST_WORDS, MOST_WORDS = 30, 60
+COUNTS = ["words", "common", "clause", "letters", "signs", "digits", "solid", "fresh", "own_listed", "own_closed", "own_lines"]
+SHARES = {
+    "mean_word_length": ("letters", "words"), "symbol_share": ("signs", "solid"), "closed_line_share": ("own_closed", "own_lines"), "common_share": ("common", "words"),
+    "clause_share": ("clause", "words"), "digit_share": ("digits", "solid"), "distinct_share": ("fresh", "words"), "listed_share": ("own_listed", "own_lines"),
+}
 STEPS = 5
-#: 0.99 and 1 - 1e-8 quantiles of the chi-square distribution with seven degrees of freedom
-KEEP, CUTOFF = 18.48, 50.0
+#: chi-square with nine degrees of freedom: its 0.99 quantile, and one beyond which 1.1e-7 lies
+KEEP, CUTOFF = 21.67, 50.0
 LEAST_PASSAGES = 60
-#: variance added to each statistic, so that one that hardly varies in prose does not decide alone
-FLOOR = [1e-4, 1e-4, 1e-2, 1e-5, 1e-5, 1e-4, 1e-2]
 #: Common words that join names in lists as they do in sentences; the other common words show a clause.
 JOINING = {
     "en": "the a an and on with for of or",
@@ -41,82 +46,18 @@ JOINING = {
     "es": "el la los las un una y o sobre con para de del",
 }
 
-TOKEN = re.compile(r"\w+(?:['’]\w+)?")
-BULLET = re.compile(r"\s*(?:[-*•+]\s|\d+[.)]\s|\s{2,}\S)")
-OTHER = re.compile(r"[^\w\s]|[\d_]")
-#: a reference to a file inside a line counts as one word
-PATH = re.compile(r"(?<=[^\s][ ])(?:\b[A-Za-z]:)?(?:/[^\s/,;|:]+){2,}")
-COLUMNS = re.compile(r"\S\s{3,}\S|\t|\s\|\s")
-DIGIT, SIGN = re.compile(r"\d"), re.compile(r"[^\w\s]|_")
-CLOSED = re.compile(r"[.!?…。][\"'”’»)\]]*$")
-
-
-def _kind(line: str) -> int:
-    """0 words, 1 list item, 2 mostly other signs."""
-    if len(OTHER.findall(line)) > 0.25 * len(line):
-        return 2
-    return 1 if BULLET.match(line) else 0
-
-
-def passages(text: str) -> Iterator[str]:
-    """Neighbouring lines of one kind up to about LEAST_WORDS words; long lines cut at MOST_WORDS."""
-    held: list[str] = []
-    words, kind = 0, -1
-    for line in text.splitlines():
-        if not line.strip():
-            continue
-        cuts = [m.start() for m in TOKEN.finditer(line)]
-        # a very short line is of the kind of what stands before it
-        k = kind if held and len(cuts) <= 4 else _kind(line)
-        if held and (k != kind or words >= LEAST_WORDS):
-            yield "\n".join(held)
-            held, words = [], 0
-        kind = k
-        if len(cuts) > MOST_WORDS + LEAST_WORDS:
-            if held:
-                yield "\n".join(held)
-                held, words = [], 0
-            at = 0
-            for n in range(MOST_WORDS, len(cuts) - LEAST_WORDS, MOST_WORDS):
-                yield line[at : cuts[n]]
-                at = cuts[n]
-            yield line[at:]
-        elif len(cuts) == 0 and len(line) > 2000:
-            yield line
-        else:
-            held.append(line)
-            words += max(1, len(cuts))
-    if held:
-        yield "\n".join(held)
-
-
-def _listed(text: str) -> tuple[int, int]:
-    """Lines that are list items or have columns, and all lines."""
-    lines = [x for x in text.splitlines() if x.strip()]
-    return sum(BULLET.match(x) is not None or COLUMNS.search(x) is not None for x in lines), len(lines)
-
-
-def _passage_stats(text: str, known: dict[str, tuple[int, int]], languages: list[str], declared: str, met: set[str]) -> tuple:
-    """``met``: words of the text's earlier passages, to which this one's are added. ``known``: word -> bits of the languages in which it is common, bits of those in which it shows a clause."""
-    text, chars = PATH.sub("file", text), len(text)
-    tokens = TOKEN.findall(text.lower())
-    n = max(1, len(tokens))
-    seen = [known[w] for w in tokens if w in known]
-    best, lang, joined = -1, declared, 0
-    for i, code in enumerate(languages):
-        hits = sum(m[0] >> i & 1 for m in seen)
-        if hits > best or (hits == best and code == declared):
-            best, lang, joined = hits, code, sum(m[1] >> i & 1 for m in seen)
-    listed, lines = _listed(text)
-    solid = sum(map(len, text.split()))
-    size = max(1, solid)
-    own, before, letters = set(tokens), len(met), sum(map(len, tokens))
-    met |= own
-    digits, signs = len(DIGIT.findall(text)), len(SIGN.findall(text))
-    return (lang, chars, len(tokens), max(best, 0) / n, joined / n, min(30.0, letters / n), signs / size, digits / size, len(own) / n, listed / max(1, lines), max(best, 0), joined, letters, signs, digits, solid, len(met) - before, listed, lines)
-
-
-UNIT_SCHEMA = "doc_id bigint, lang string, chars bigint, words bigint, " + ", ".join([*(f"{s} double" for s in STATS), *(f"{c} bigint" for c in COUNTS)])
+
+def _statistics(of: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    n, solid = np.maximum(of["words"], 1), np.maximum(of["solid"], 1)
+    whole = np.bincount(of["text"], weights=of["words"], minlength=1)
+    return {
+        "log_word_count": np.log1p(whole)[of["text"]], "mean_word_length": np.minimum(30.0, of["letters"] / n), "symbol_share": of["signs"] / solid,
+        "closed_line_share": of["closed"] / np.maximum(of["lines"], 1), "common_share": of["common"] / n, "clause_share": of["clause"] / n,
+        "digit_share": of["digits"] / solid, "distinct_share": of["distinct"] / n, "listed_share": of["listed"] / np.maximum(of["lines"], 1),
+    }
+
+
+UNIT_SCHEMA = "doc_id bigint, lang string, chars bigint, " + ", ".join([*(f"{s} double" for s in STATS), *(f"{c} bigint" for c in COUNTS)])
 
 
 def _language(col: Column) -> Column:
@@ -125,27 +66,20 @@ def _language(col: Column) -> Column:
 
 def passage_stats(documents: DataFrame, common_words: dict[str, frozenset[str]]) -> DataFrame:
     """One row for each passage of each text with its language, size and statistics."""
-    languages = list(common_words)
-    known: dict[str, tuple[int, int]] = {}
-    for i, code in enumerate(languages):
-        joining = JOINING.get(code, "").split()
-        for w in common_words[code]:
-            a, b = known.get(w, (0, 0))
-            known[w] = (a | 1 << i, b | (w not in joining) << i)
+    lexicon = Lexicon.of(common_words, {c: frozenset(w.split()) for c, w in JOINING.items()})
+    names = np.array(lexicon.languages, dtype=object)
 
     def stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, rows = [], []
-            for doc, text, lang in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("lang").to_pylist()):
-                met: set[str] = set()
-                own = [_passage_stats(p, known, languages, lang, met) for p in passages(text)]
-                if own and max(map(len, text.splitlines())) >= 2 * MOST_WORDS:  # a line may have been cut: count the text's own
-                    own = [(*x[:-2], *(_listed(PATH.sub("file", text)) if i == 0 else (0, 0))) for i, x in enumerate(own)]
-                ids += [doc] * len(own)
-                rows += own
-            cols = list(zip(*rows)) if rows else [[] for _ in range(3 + len(STATS) + len(COUNTS))]
-            types = [pa.string(), pa.int64(), pa.int64(), *[pa.float64()] * len(STATS), *[pa.int64()] * len(COUNTS)]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(c, t) for c, t in zip(cols, types))], names=["doc_id", "lang", "chars", "words", *STATS, *COUNTS])
+            ids = b.column("doc_id").to_numpy()
+            texts, declared = b.column("text").to_pylist(), b.column("lang").to_pylist()
+            for first, last in chunks(texts):
+                of = passage_counts(texts[first:last], declared[first:last], lexicon)
+                said = names[of["language"]] if len(names) else np.array(declared[first:last], dtype=object)[of["text"]]
+                values = _statistics(of)
+                cols = [pa.array(ids[first:last][of["text"]], pa.int64()), pa.array(said, pa.string()), pa.array(of["chars"], pa.int64())]
+                cols += [pa.array(values[x], pa.float64()) for x in STATS] + [pa.array(of[x], pa.int64()) for x in COUNTS]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "lang", "chars", *STATS, *COUNTS])
 
     texts = documents.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", _language(F.col("lang")).alias("lang"))
     return texts.mapInArrow(stats, UNIT_SCHEMA)
@@ -163,15 +97,16 @@ class ProseModel:
         Short passages weigh less, as their shares scatter more.
         """
         x = np.stack([batch.column(s).to_numpy(zero_copy_only=False) for s in STATS], axis=1)
-        lang = np.asarray(batch.column("lang").fill_null("").to_pylist(), dtype=object)
+        coded = batch.column("lang").fill_null("").dictionary_encode()
+        names, lang = np.array(coded.dictionary.to_pylist(), dtype=object), coded.indices.to_numpy()
         size = np.maximum(batch.column("words").to_numpy(), batch.column("chars").to_numpy() / 8)
         out = np.zeros_like(x)
-        for code in set(lang.tolist()):
-            at = lang == code
+        for i, code in enumerate(names):
+            at = lang == i
             mean, inv = self.parts.get(code) or self.parts.get("") or (np.zeros(len(STATS)), np.eye(len(STATS)))
             z = x[at] - mean
             out[at] = z * (z @ inv)
-        return lang, x, out * np.sqrt(np.minimum(1.0, size / LEAST_WORDS))[:, None]
+        return names[lang], x, out * np.sqrt(np.minimum(1.0, size / LEAST_WORDS))[:, None]
 
 
 def _start(full: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
@@ -188,8 +123,8 @@ def _start(full: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
     for r in med:
         code = "" if r["whole"] else r["lang"]
         if r["whole"] or r["n"] >= LEAST_PASSAGES:
-            scale = np.array([1.4826 * dev[code][s] + 1e-3 for s in STATS])
-            out[code] = (np.array([float(r[s]) for s in STATS]), np.diag(1 / scale**2))
+            spread = np.array([1.4826 * dev[code][s] for s in STATS])
+            out[code] = (np.array([float(r[s]) for s in STATS]), np.diag(1 / (spread**2 + FLOOR)))
     return out
 
 
@@ -199,7 +134,7 @@ def fit_prose(units: DataFrame) -> ProseModel:
     Only counts, sums and cross products (some forty numbers a language) come to the driver.
     A language with few passages uses the model of all languages.
     """
-    full = units.where(F.col("words") >= LEAST_WORDS // 2)
+    full = units.where(F.col("words") >= LEAST_WORDS // 2).select("lang", "chars", "words", *STATS)
     k = len(STATS)
     parts = _start(full)
     upper = np.triu_indices(k)
@@ -252,8 +187,8 @@ def _common(common_words: DataFrame, most: int = 100_000) -> dict[str, frozenset
     return {k: frozenset(v) for k, v in sorted(out.items())}
 
 
-def judged_passages(documents: DataFrame, common_words: DataFrame) -> DataFrame:
-    """Passages with ``distance`` (squared), one ``by_...`` contribution a statistic, and ``outlying``."""
+def judged_passages(documents: DataFrame, common_words: DataFrame, kept: tuple[str, ...] = ("doc_id", "lang", "chars", *COUNTS)) -> DataFrame:
+    """Passages with the ``kept`` columns, ``distance`` (squared), one ``by_...`` contribution a statistic, and ``outlying``."""
     units = materialize(passage_stats(documents, _common(common_words)), "passages")
     model = fit_prose(units)
 
@@ -261,10 +196,11 @@ def judged_passages(documents: DataFrame, common_words: DataFrame) -> DataFrame:
         for b in batches:
             _, _, part = model.contributions(b)
             extra = [pa.array(part.sum(axis=1)), *(pa.array(np.ascontiguousarray(part[:, i])) for i in range(len(STATS)))]
-            yield pa.RecordBatch.from_arrays([*b.columns, *extra], names=[*b.schema.names, "distance", *(f"by_{x}" for x in STATS)])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), *extra], names=[*kept, "distance", *(f"by_{x}" for x in STATS)])
 
-    schema = UNIT_SCHEMA + ", distance double, " + ", ".join(f"by_{x} double" for x in STATS)
-    return units.mapInArrow(judge, schema).withColumn("outlying", F.col("distance") > CUTOFF)
+    schema = ", ".join([x for x in UNIT_SCHEMA.split(", ") if x.split()[0] in kept] + ["distance double", *(f"by_{x} double" for x in STATS)])
+    needed = dict.fromkeys([*kept, "lang", "chars", "words", *STATS])
+    return units.select(*needed).mapInArrow(judge, schema).withColumn("outlying", F.col("distance") > CUTOFF)
 
 
 def text_quality(documents: DataFrame, common_words: DataFrame) -> DataFrame:
@@ -278,16 +214,14 @@ def text_quality(documents: DataFrame, common_words: DataFrame) -> DataFrame:
     """
     by_doc = judged_passages(documents, common_words)
     weighted = [(F.sum(F.col(c) * F.col("chars")) / F.sum("chars")).alias(c) for c in ["distance", *(f"by_{s}" for s in STATS)]]
-    shares = [(F.sum(n) / F.when(F.sum(of) > 0, F.sum(of))).alias(s) for s, (n, of) in zip(STATS, SHARES)]
+    shares = [(F.sum(n) / F.when(F.sum(of) > 0, F.sum(of))).alias(s) for s, (n, of) in SHARES.items()]
     agg = by_doc.groupBy("doc_id").agg(
-        F.sum("words").alias("word_count"), *shares, *weighted, (F.sum(F.when(F.col("outlying"), F.col("chars")).otherwise(0)) / F.sum("chars")).alias("odd_share")
+        F.sum("words").alias("word_count"), F.log1p(F.sum("words")).alias("log_word_count"), *shares, *weighted, (F.sum(F.when(F.col("outlying"), F.col("chars")).otherwise(0)) / F.sum("chars")).alias("odd_share")
     )
-    lines = F.filter(F.split(F.coalesce("text", F.lit("")), r"\r\n|\r|\n"), lambda x: F.trim(x) != "")
-    closed = F.filter(lines, lambda x: F.rtrim(x).rlike(CLOSED.pattern))
-    docs = documents.where(F.col("doc_id").isNotNull()).select("doc_id", (F.size(closed) / F.when(F.size(lines) > 0, F.size(lines))).alias("closed_line_share"))
     return (
-        docs.join(agg, "doc_id", "left")
-        .withColumn("word_count", F.coalesce("word_count", F.lit(0)))
+        documents.where(F.col("doc_id").isNotNull()).select("doc_id")
+        .join(agg, "doc_id", "left")
+        .withColumns({c: F.coalesce(c, F.lit(0)) for c in ("word_count", "log_word_count")})
         .withColumn("is_prose", F.coalesce(F.col("odd_share") <= 0.5, F.lit(False)))
     )
 
@@ -295,7 +229,7 @@ def text_quality(documents: DataFrame, common_words: DataFrame) -> DataFrame:
 def not_prose(documents: DataFrame, common_words: DataFrame) -> DataFrame:
     """``doc_id`` of each document that is no running prose."""
     odd = (
-        judged_passages(documents, common_words)
+        judged_passages(documents, common_words, ("doc_id", "chars"))
         .groupBy("doc_id")
         .agg((F.sum(F.when(F.col("outlying"), F.col("chars")).otherwise(0)) / F.sum("chars")).alias("odd_share"))
         .where(F.col("odd_share") <= 0.5)
