@@ -6,28 +6,44 @@ bits. A 64-bit pHash is cut into nine segments; two hashes with at most eight
 differing bits agree in one of them at least, so the index files every accepted
 hash under (analysis type, segment number, segment) and a batch probes its own
 nine segments. Inside a bucket the dHash segments are probed in the same way
-and both distances are verified. The index of the history is a table that is
-appended to (:class:`SegmentIndex`); a new batch reads the groups it probes and
-never recomputes the history.
+and both distances are verified. A bucket that has become hot is filed under the
+dHash segments too, so it falls apart where these differ. Content hashes are one more key.
+
+The index (:class:`SegmentIndex`) is a table bucketed by group of keys. It is
+appended to; a batch shuffles its own probes to it, reads the groups it probes, and neither
+files nor moves what was accepted before.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import replace
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.hashing import content_number
-from ..plans.scratch import materialize
+from ..plans.scratch import materialize, new_path, remove
 from . import buckets as B
 
 SEGMENTS = 9
 MAX_BITS = 8
 #: bit offset of each segment; one is 8 bits wide, the others 7
 CUTS = [0, 7, 14, 21, 28, 35, 42, 49, 56, 64]
-PAYLOAD = [("item_id", "i8"), ("phash", "u8"), ("dhash", "u8"), ("batch_no", "i4")]
-HISTORY = np.int32(-(2**31))
+STORED = [("phash", "u8"), ("dhash", "u8")]
+PROBE = [*STORED, ("item_id", "i8"), ("batch_no", "i4")]
+#: entries of an item: its segments and its content
+KEYS = SEGMENTS + 1
+#: earlier partners named for each item and bucket at once; an item of which more are needed is probed again
+PARTNERS = 8
+#: rounds of settling before undecided items are probed again
+ROUNDS = 6
+#: items that are taken at once; a larger delivery is taken in slices
+SLICE = 4_000_000
+#: lowest bits of a key: a segment of the pHash, a content number, segments of both hashes
+PLAIN, CONTENT, FINE, TAGS = (np.uint64(i) for i in range(4))
 
 
 def segment_values(h: np.ndarray, s: int) -> np.ndarray:
@@ -35,9 +51,22 @@ def segment_values(h: np.ndarray, s: int) -> np.ndarray:
     return (h >> np.uint64(CUTS[s])) & np.uint64((1 << width) - 1)
 
 
-def _keys(cols: dict[str, np.ndarray]) -> list[np.ndarray]:
-    kind, h = cols["kind"].view(np.uint64), cols["phash"].view(np.uint64)
-    return [B.combine(kind, segment_values(h, s) * np.uint64(SEGMENTS) + np.uint64(s)) for s in range(SEGMENTS)]
+def _finer(key: np.ndarray, dhash: np.ndarray, j: int) -> np.ndarray:
+    return B.combine(key, segment_values(dhash, j) * np.uint64(SEGMENTS) + np.uint64(j)) & ~TAGS | FINE
+
+
+def _file(cols: dict[str, np.ndarray], layout: B.Layout) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[str]]]:
+    """Entries of items: image hashes by segment, then content numbers, which travel in the place of the hashes."""
+    kind, ph, dh = (cols[c].view(np.uint64) for c in ("kind", "phash", "dhash"))
+    near = np.flatnonzero(cols["near"])
+    for s in range(SEGMENTS):
+        key = B.combine(kind[near], segment_values(ph[near], s) * np.uint64(SEGMENTS) + np.uint64(s)) & ~TAGS
+        hot = layout.is_hot(key)
+        yield 0, key[~hot], near[~hot], ["phash", "dhash", "item_id", "batch_no"]
+        for j in range(SEGMENTS if hot.any() else 0):
+            yield 0, _finer(key[hot], dh[near[hot]], j), near[hot], ["phash", "dhash", "item_id", "batch_no"]
+    known = np.flatnonzero(cols["known"])
+    yield 0, B.combine(kind[known], cols["xx"].view(np.uint64)[known]) & ~TAGS | CONTENT, known, ["xx", "kind", "item_id", "batch_no"]
 
 
 def items(hashes: DataFrame) -> DataFrame:
@@ -80,155 +109,292 @@ def classes(one_each: DataFrame) -> DataFrame:
     )
 
 
-def _payload(of: DataFrame, history: bool) -> DataFrame:
-    return of.where(F.col("phash").isNotNull() & F.col("dhash").isNotNull()).select(
-        "kind", "item_id", "phash", "dhash", (F.lit(int(HISTORY)) if history else F.col("batch_no")).cast("int").alias("batch_no")
-    )
+def _entries(cls: DataFrame) -> DataFrame:
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    near = F.col("phash").isNotNull() & F.col("dhash").isNotNull()
+    return cls.select("kind", zero("phash"), zero("dhash"), zero("xx"), near.alias("near"), F.col("xx").isNotNull().alias("known"), "item_id", F.col("batch_no").cast("int").alias("batch_no"))
+
+
+def _buckets(keys: np.ndarray, dense: np.ndarray, dhash: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """The comparisons of a group: rows, the number of the bucket of each, and whether bits are to be counted."""
+    tag = keys & TAGS
+    at = np.flatnonzero(tag == CONTENT)
+    yield at, dense[at], False
+    at = np.flatnonzero(tag == FINE)
+    yield at, dense[at], True
+    at = np.flatnonzero(tag == PLAIN)
+    for s in range(SEGMENTS):
+        yield at, dense[at] << 9 | segment_values(dhash[at], s).astype(np.int64), True
 
 
-def near_matches(cand: DataFrame, groups: int, max_bits: int = MAX_BITS) -> DataFrame:
-    """``later, earlier`` for new items of packed blocks; ``earlier`` is null for a match in the history."""
-
-    def match(table: pa.Table) -> pa.Table:
-        keys, c, chunk = B.unpack(table, PAYLOAD)
-        ph, dh, ids, batch = c["phash"], c["dhash"], c["item_id"], c["batch_no"]
-        new = batch != HISTORY
-        cross = len(np.unique(chunk)) > 1
-        out: list[np.ndarray] = []
-        refused: list[np.ndarray] = []
-        _, dense = np.unique(keys, return_inverse=True)
-        for s in range(SEGMENTS if new.any() else 0):
-            k = ((dense.astype(np.uint64) << np.uint64(9)) | (segment_values(dh, s) << np.uint64(1))) | (~new).astype(np.uint64)
-            order = np.argsort(k)
-            ks, ph_s, dh_s, new_s = k[order] >> np.uint64(1), ph[order], dh[order], new[order]
-            for i, j in B.same_key_pairs(ks, new_s):
-                near = np.bitwise_count(ph_s[i] ^ ph_s[j]) <= max_bits
-                i, j = i[near], j[near]
-                near = np.bitwise_count(dh_s[i] ^ dh_s[j]) <= max_bits
-                i, j = order[i[near]], order[j[near]]
-                if cross:
-                    apart = chunk[i] != chunk[j]
-                    i, j = i[apart], j[apart]
-                old = ~new[j]
-                refused.append(np.unique(ids[i[old]]))
-                out.append(np.stack([i[~old], j[~old]]))
-        gone = np.unique(np.concatenate(refused)) if refused else np.array([], dtype=np.int64)
-        i, j = np.concatenate(out, axis=1) if out else np.zeros((2, 0), dtype=np.int64)
-        swap = (batch[i] < batch[j]) | ((batch[i] == batch[j]) & (ids[i] < ids[j]))
-        later, earlier = ids[np.where(swap, j, i)], ids[np.where(swap, i, j)]
-        keep = (later != earlier) & ~np.isin(later, gone) & ~np.isin(earlier, gone)
-        pairs = np.unique(np.stack([later[keep], earlier[keep]], axis=1), axis=0)
-        none = pa.nulls(len(gone), pa.int64())
-        return pa.table({"later": np.concatenate([gone, pairs[:, 0]]), "earlier": pa.concat_arrays([none, pa.array(pairs[:, 1], pa.int64())])})
-
-    return cand.groupBy("grp", "pair").applyInArrow(match, "later bigint, earlier bigint")
-
-
-def _resolve(new: DataFrame, links: DataFrame) -> DataFrame:
-    """Ids of new class firsts that are accepted, in the order of batch and id.
-
-    ``new``: item_id, batch_no, kind, xx. ``links``: later, earlier (null: the
-    history). A round accepts every undecided item whose earlier partners are
-    all refused and refuses the later partners of what it accepted.
+def _hold(stored: pa.Table, probes: pa.Table) -> pa.Table:
+    """``later, earlier, more`` for the probes of one group: refused by the index (``earlier`` null), or partners in the batch itself.
+
+    Of the partners that come before an item the first PARTNERS in a bucket are named; ``more`` marks an item that may have others.
     """
-    by_history = links.where(F.col("earlier").isNull()).select(F.col("later").alias("item_id")).distinct()
-    group = F.struct("kind", "xx")
-    alive = materialize(new.join(by_history, "item_id", "left_anti"), "undecided")
-    pair = links.where(F.col("earlier").isNotNull()).distinct()
-    live_ids = alive.select("item_id")
-    pair = materialize(
-        pair.join(live_ids.withColumnRenamed("item_id", "later"), "later", "left_semi").join(
-            live_ids.withColumnRenamed("item_id", "earlier"), "earlier", "left_semi"
-        ),
-        "links",
+    keys, p = B.unpack(probes.column("block"), PROBE)
+    by = np.lexsort((p["item_id"], p["batch_no"], keys))
+    keys, ph, dh, ids = keys[by], p["phash"][by], p["dhash"][by], p["item_id"][by]
+    order = np.lexsort((ids, p["batch_no"][by]))
+    rank = np.empty(len(order), dtype=np.int64)
+    rank[order] = np.arange(len(order))
+    each, dense = np.unique(keys, return_inverse=True)
+    # of what is stored only the probed buckets matter
+    kept = []
+    for block in stored.column("block"):
+        k, c = B.unpack([block], STORED)
+        place = np.minimum(np.searchsorted(each, k), max(0, len(each) - 1))
+        hit = np.flatnonzero(each[place] == k) if len(each) else np.zeros(0, dtype=np.int64)
+        kept.append((k[hit], place[hit], c["phash"][hit], c["dhash"][hit]))
+    s_keys, s_dense, s_ph, s_dh = (np.concatenate(x) for x in zip(*kept)) if kept else (np.zeros(0, dtype=t) for t in ("u8", "i8", "u8", "u8"))
+
+    def close(a_ph: np.ndarray, a_dh: np.ndarray, b_ph: np.ndarray, b_dh: np.ndarray, bits: bool):
+        def passes(q: np.ndarray, c: np.ndarray) -> np.ndarray:
+            if not bits:
+                return (a_ph[q] == b_ph[c]) & (a_dh[q] == b_dh[c])
+            ok = np.bitwise_count(a_ph[q] ^ b_ph[c]) <= MAX_BITS
+            ok[ok] = np.bitwise_count(a_dh[q[ok]] ^ b_dh[c[ok]]) <= MAX_BITS
+            return ok
+
+        return passes
+
+    gone = np.zeros(len(keys), dtype=bool)
+    for (at, bucket, bits), (s_at, s_bucket, _) in zip(_buckets(keys, dense, dh), _buckets(s_keys, s_dense, s_dh)):
+        if not len(at) or not len(s_at):
+            continue
+        todo = np.flatnonzero(~gone[at])
+        at, bucket = at[todo], bucket[todo]
+        s_order = np.argsort(s_bucket, kind="stable")
+        s_at, s_bucket = s_at[s_order], s_bucket[s_order]
+        lo, hi = np.searchsorted(s_bucket, bucket), np.searchsorted(s_bucket, bucket, side="right")
+        q, _ = B.first_passing(lo, hi, close(ph[at], dh[at], s_ph[s_at], s_dh[s_at], bits), 1)
+        gone[at[q]] = True
+    refused = np.unique(ids[gone])
+    live = np.flatnonzero(~np.isin(ids, refused))
+    pairs, full = [np.zeros((2, 0), dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+    for at, bucket, bits in _buckets(keys[live], dense[live], dh[live]):
+        if not len(at):
+            continue
+        turn = np.lexsort((rank[live[at]], bucket))
+        at, bucket = live[at[turn]], bucket[turn]
+        start = np.searchsorted(bucket, bucket)
+        q, c = B.first_passing(start, np.arange(len(at)), close(ph[at], dh[at], ph[at], dh[at], bits), PARTNERS)
+        pairs.append(np.stack([ids[at[q]], ids[at[c]]]))
+        full.append(ids[at[np.flatnonzero(np.bincount(q, minlength=len(at)) == PARTNERS)]])
+    pair = np.unique(np.concatenate(pairs, axis=1), axis=1)
+    more = np.unique(np.concatenate(full))
+    n = [len(refused), pair.shape[1], len(more)]
+    none = pa.nulls(1, pa.int64())
+    return pa.table(
+        {
+            "later": np.concatenate([refused, pair[0], more]),
+            "earlier": pa.concat_arrays([pa.nulls(n[0], pa.int64()), pa.array(pair[1], pa.int64()), pa.nulls(n[2], none.type)]),
+            "more": np.repeat([False, False, True], n),
+        }
     )
-    shared = alive.where(F.col("xx").isNotNull()).groupBy("kind", "xx").agg(F.count("*").alias("n")).where("n > 1").select("kind", "xx")
-    touched = pair.select(F.col("later").alias("item_id")).union(pair.select("earlier")).distinct()
-    in_group = alive.join(shared, ["kind", "xx"], "left_semi").select("item_id")
-    open_ids = touched.union(in_group).distinct()
-    accepted = [alive.join(open_ids, "item_id", "left_anti").select("item_id")]
-    todo = materialize(alive.join(open_ids, "item_id", "left_semi"), "undecided")
-    while todo.take(1):
-        # without a content hash an item is a group of its own
-        own = todo.withColumn("g", F.when(F.col("xx").isNotNull(), F.xxhash64("kind", "xx")).otherwise(F.xxhash64("item_id", F.lit("own"))))
-        first = own.groupBy("g", "kind", "xx").agg(F.min(F.struct("batch_no", "item_id")).alias("f")).select("f.item_id")
-        blocked = pair.select(F.col("later").alias("item_id")).distinct()
-        now = materialize(first.join(blocked, "item_id", "left_anti"), "accepted")
-        accepted.append(now)
-        taken = todo.join(now, "item_id", "left_semi")
-        refused = (
-            pair.join(now.withColumnRenamed("item_id", "earlier"), "earlier", "left_semi")
-            .select(F.col("later").alias("item_id"))
-            .union(todo.join(taken.where(F.col("xx").isNotNull()).select("kind", "xx"), ["kind", "xx"], "left_semi").select("item_id"))
-        )
-        decided = materialize(refused.union(now).distinct(), "decided")
-        todo = materialize(todo.join(decided, "item_id", "left_anti"), "undecided")
-        pair = materialize(pair.join(decided.withColumnRenamed("item_id", "later"), "later", "left_anti").join(decided.withColumnRenamed("item_id", "earlier"), "earlier", "left_anti"), "links")
-    out = accepted[0]
-    for more in accepted[1:]:
-        out = out.union(more)
-    return out
 
 
-def refuse_duplicates(hashes: DataFrame, history: int = 0) -> DataFrame:
-    """``item_id`` of every refused item of all batches after ``history``.
+def _settle(fresh: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Ids of the class firsts that are accepted, and of those that are not decided yet (None: all are).
 
-    Items are taken in the order of their smallest batch and their id; batches up
-    to ``history`` are accepted. A later item is refused if one accepted before
-    it has the same analysis type and the same content number or both image
-    hashes within eight bits. Nulls match nothing; equal items are compared once;
-    an empty table gives an empty result; further columns are ignored.
+    A round accepts what has no earlier partner left and refuses the later partners of
+    what it accepted. An item with ``more`` partners than were named is never accepted here.
     """
-    one_each = items(hashes)
-    cls = materialize(classes(one_each), "classes")
-    counts = cls.agg(F.count("*").alias("n")).first().n
-    groups = B.group_count(counts * SEGMENTS)
-    old, new = cls.where(F.col("batch_no") <= history), cls.where(F.col("batch_no") > history)
-    entries = _payload(old, True).unionByName(_payload(new, False))
-    hot = B.hot_groups(entries, _keys, groups, counts * SEGMENTS)
-    links = materialize(near_matches(B.pack(entries, _keys, PAYLOAD, groups, hot), groups), "matches")
-    known = old.where(F.col("xx").isNotNull()).select("kind", "xx").distinct()
-    fresh = new.join(known, ["kind", "xx"], "left_anti").select("item_id", "batch_no", "kind", "xx")
-    kept = _resolve(fresh, links)
-    late = one_each.where((F.col("batch_no") > history) & matchable()).select("item_id")
-    return late.join(kept, "item_id", "left_anti")
+    one = lambda df, c: df.select(F.col(c).alias("item_id"))
+    seen = links.agg(F.count("earlier").alias("pairs"), F.count_if("more").alias("more")).first()
+    old = one(links.where("earlier IS NULL AND NOT more"), "later").distinct()
+    alive = fresh.join(old, "item_id", "left_anti")
+    if not seen.pairs:  # an item with more partners than were named has some that were
+        return alive, None
+
+    def without(df: DataFrame, gone: DataFrame, *ends: str) -> DataFrame:
+        for end in ends:
+            df = df.join(gone.withColumnRenamed("item_id", end), end, "left_anti")
+        return df
+
+    pair = materialize(without(links.where("earlier IS NOT NULL"), old, "later", "earlier").select("later", "earlier"), "links")
+    more = materialize(one(without(links.where("more"), old, "later"), "later").distinct(), "more") if seen.more else None
+    undecided = one(pair, "later").union(one(pair, "earlier")).distinct()
+    accepted = [alive.join(undecided, "item_id", "left_anti")]
+    for _ in range(ROUNDS):
+        if not pair.take(1):
+            break
+        free = undecided.join(one(pair, "later"), "item_id", "left_anti")
+        if more is not None:
+            free = free.join(more, "item_id", "left_anti")
+        beaten = one(pair.join(free.withColumnRenamed("item_id", "earlier"), "earlier", "left_semi"), "later").distinct()
+        done = materialize(free.withColumn("ok", F.lit(True)).union(beaten.withColumn("ok", F.lit(False))), "settled")
+        accepted.append(done.where("ok").select("item_id"))
+        ids = done.select("item_id")
+        undecided = undecided.join(ids, "item_id", "left_anti")
+        pair = materialize(without(pair, ids, "later", "earlier"), "links")
+    out = accepted[0]
+    for a in accepted[1:]:
+        out = out.union(a)
+    if more is None and not pair.take(1):
+        # what only lost its partners in the last round is free
+        return out.union(undecided), None
+    rest = materialize(undecided, "undecided")
+    return out, rest if rest.take(1) else None
 
 
 class SegmentIndex:
-    """The accepted history as an appendable table of packed segment blocks and content numbers.
+    """The accepted history as an appendable table of packed segment and content entries, bucketed by group.
 
-    ``append`` adds accepted items, ``refuse`` holds one batch against all that was
-    appended and returns the refused ids. Only the batch is hashed into segments;
-    stored blocks are read as they are. The number of groups is fixed when the
-    index is made, as blocks are filed by it.
+    ``create`` makes an index of accepted items, ``open`` finds one again (a missing one is an error),
+    ``append`` adds accepted items and ``take`` holds a delivery against it and appends what is accepted.
+    All take rows with the columns of :func:`items`. Only a delivery is filed into segments and shuffled; of the table the probed
+    buckets are read as they are. An index that has grown past twice its size is laid out
+    anew with more groups, which costs a constant share of what was appended since.
     """
 
-    def __init__(self, spark: SparkSession, path: str, groups: int = 64) -> None:
-        self.spark, self.path, self.groups = spark, path.rstrip("/"), groups
-
-    def _stored(self, part: str, schema: str) -> DataFrame:
-        try:
-            return self.spark.read.schema(schema).parquet(f"{self.path}/{part}")
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            return self.spark.createDataFrame([], schema)
+    def __init__(self, spark: SparkSession, path: str, layout: B.Layout, entries: int, version: int) -> None:
+        self.spark, self.path, self.layout, self.entries, self.version = spark, path.rstrip("/"), layout, entries, version
+        self.table = f"segments_{abs(hash(self.path)):x}_{version}"
+
+    @classmethod
+    def create(cls, history: DataFrame, path: str) -> SegmentIndex:
+        rows = materialize(classes(history), "history")
+        entries = rows.count() * KEYS
+        index = cls(history.sparkSession, path, B.plan(_entries(rows), _file, entries), 0, 0)
+        index._save_layout()
+        index._write(B.pack_stored(_entries(rows), _file, STORED, index.layout), entries)
+        return index
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> SegmentIndex:
+        at = spark.read.parquet(f"{path.rstrip('/')}/layout").orderBy(F.col("version").desc()).first()
+        hot = np.array(sorted(np.array(at.hot, dtype=np.int64).view(np.uint64)), dtype=np.uint64)
+        index = cls(spark, path, B.Layout(at.groups, 1, hot, {r.grp: r.n for r in at.parts}), 0, at.version)
+        files = f"{index.path}/v{index.version}"
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {index.table} (grp INT, n INT, block BINARY) USING parquet CLUSTERED BY (grp) INTO {index.layout.groups} BUCKETS LOCATION '{files}'")
+        index.entries = spark.table(index.table).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
+        return index
+
+    def _save_layout(self) -> None:
+        hot = self.layout.hot.view(np.int64).tolist()
+        row = (self.version, self.layout.groups, hot, list(self.layout.parts.items()))
+        schema = "version int, groups int, hot array<bigint>, parts array<struct<grp: int, n: int>>"
+        self.spark.createDataFrame([row], schema).coalesce(1).write.mode("append").parquet(f"{self.path}/layout")
+
+    def _write(self, blocks: DataFrame, entries: int) -> None:
+        n = self.layout.groups
+        blocks.repartition(n, "grp").write.mode("append").bucketBy(n, "grp").option("path", f"{self.path}/v{self.version}").saveAsTable(self.table)
+        self.entries += entries
 
     def append(self, accepted: DataFrame) -> None:
-        """Add items (columns of :func:`items`) to the index."""
-        cls = classes(accepted)
-        blocks = B.pack(_payload(cls, True), _keys, PAYLOAD, self.groups, {})
-        blocks.write.mode("append").parquet(f"{self.path}/segments")
-        cls.where(F.col("xx").isNotNull()).select("kind", "xx").distinct().write.mode("append").parquet(f"{self.path}/content")
-
-    def refuse(self, batch: DataFrame) -> DataFrame:
-        """Refused ids among the items of one batch (columns of :func:`items`)."""
-        cls = materialize(classes(batch), "classes")
-        probes = B.pack(_payload(cls, False), _keys, PAYLOAD, self.groups, {})
-        stored = self._stored("segments", "grp int, chunk int, pair string, block binary")
-        stored = stored.join(probes.select("grp").distinct(), "grp", "left_semi").select(probes.columns)
-        links = materialize(near_matches(stored.union(probes), self.groups), "matches")
-        known = self._stored("content", "kind bigint, xx bigint").distinct()
-        fresh = cls.join(known, ["kind", "xx"], "left_anti").select("item_id", "batch_no", "kind", "xx")
-        kept = _resolve(fresh, links)
-        return batch.where(matchable()).select("item_id").join(kept, "item_id", "left_anti")
+        """Add accepted items."""
+        self._append(materialize(classes(accepted), "accepted"))
+
+    def _append(self, rows: DataFrame) -> None:
+        self._write(B.pack_stored(_entries(rows), _file, STORED, self.layout), rows.count() * KEYS)
+        if self.entries > 2 * max(B.PER_GROUP * self.layout.groups, B.PER_GROUP):
+            self._grow()
+
+    def _grow(self) -> None:
+        """Lay the entries out anew; a key that has become hot is filed finer from its entries alone."""
+        old, before = self.spark.table(self.table), self.table
+        layout = B.plan(_opened(old), _refile, self.entries)
+        last = f"{self.path}/v{self.version}"
+        self.version, self.layout = self.version + 1, replace(layout, hot=np.union1d(layout.hot, self.layout.hot))
+        self.table = f"segments_{abs(hash(self.path)):x}_{self.version}"
+        entries, self.entries = self.entries, 0
+        self._write(B.pack_stored(_opened(old), _refile, STORED, self.layout), entries)
+        self._save_layout()
+        self.spark.sql(f"DROP TABLE {before}")
+        remove(self.spark, last)
+
+    def probed(self, cls: DataFrame, probes: DataFrame, n: int) -> DataFrame:
+        """The stored blocks that ``n`` items can meet; if they cannot touch every bucket, only the buckets they touch are read."""
+        stored = self.spark.table(self.table).select("grp", "block")
+        if n * KEYS * SEGMENTS >= self.layout.groups:
+            return stored
+        return stored.where(F.col("grp").isin([r.grp for r in probes.select("grp").distinct().collect()]))
+
+    def take(self, delivery: DataFrame) -> DataFrame:
+        """``item_id`` of the delivered items that are refused; the others are appended to the index.
+
+        Items are taken in the order of batch and id. A delivery of over SLICE items is taken in slices of that order.
+        """
+        rows = materialize(classes(delivery), "classes")
+        n, slices = rows.count(), [rows]
+        if n > SLICE:  # the bounded sample only places the cuts
+            parts = -(-n // SLICE)
+            some = sorted((r.batch_no, r.item_id) for r in rows.select("batch_no", "item_id").sample(min(1.0, 50_000 / n), 1).limit(100_000).collect())
+            turn = F.struct(F.col("batch_no").cast("int").alias("b"), F.col("item_id").alias("i"))
+            cuts = sorted({some[i * len(some) // parts] for i in range(1, parts)}) if some else []
+            place = sum(((turn >= F.struct(F.lit(b).cast("int").alias("b"), F.lit(i).cast("bigint").alias("i"))).cast("int") for b, i in cuts), F.lit(0))
+            slices = [rows.where(place == k) for k in range(len(cuts) + 1)]
+        accepted = [self._take(s) for s in slices]
+        kept = accepted[0]
+        for a in accepted[1:]:
+            kept = kept.union(a)
+        return delivery.where(matchable()).select("item_id").join(kept, "item_id", "left_anti")
+
+    def _take(self, rows: DataFrame) -> DataFrame:
+        """Ids of the accepted firsts of a slice, which the index has afterwards."""
+        out, todo = [], rows
+        while True:
+            entries = _entries(todo)
+            probes = B.pack_probes(entries, _file, PROBE, self.layout)
+            stored = self.probed(todo, probes, todo.count())
+            held = stored.groupBy("grp").cogroup(probes.select("grp", "block").groupBy("grp")).applyInArrow(_hold, "later bigint, earlier bigint, more boolean")
+            accepted, rest = _settle(todo.select("item_id"), materialize(held, "matches"))
+            kept = materialize(todo.join(accepted, "item_id", "left_semi"), "accepted")
+            out.append(kept.select("item_id"))
+            self._append(kept)
+            if rest is None:
+                break
+            todo = materialize(todo.join(rest, "item_id", "left_semi"), "undecided")
+        kept = out[0]
+        for more in out[1:]:
+            kept = kept.union(more)
+        return kept
+
+    def drop(self) -> None:
+        """Remove the index and its files."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+        remove(self.spark, self.path)
+
+
+def _opened(table: DataFrame) -> DataFrame:
+    """Stored blocks as entries."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for block in b.column("block"):
+                k, c = B.unpack([block], STORED)
+                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (k, c["phash"], c["dhash"])], names=["key", "phash", "dhash"])
+
+    return table.select("block").mapInArrow(run, "key bigint, phash bigint, dhash bigint")
+
+
+def _refile(cols: dict[str, np.ndarray], layout: B.Layout) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[str]]]:
+    key, dh = cols["key"].view(np.uint64), cols["dhash"].view(np.uint64)
+    hot = layout.is_hot(key) & (key & TAGS == PLAIN)
+    rows = np.flatnonzero(~hot)
+    yield 0, key[rows], rows, ["phash", "dhash"]
+    rows = np.flatnonzero(hot)
+    for j in range(SEGMENTS if len(rows) else 0):
+        yield 0, _finer(key[rows], dh[rows], j), rows, ["phash", "dhash"]
+
+
+def refuse_duplicates(hashes: DataFrame, history: int = 0) -> DataFrame:
+    """``item_id`` of every refused item of all batches after ``history``.
+
+    Batches up to ``history`` are accepted and make the index; each later batch is then taken by it in turn.
+    A later item is refused if one accepted before
+    it has the same analysis type and the same content number or both image
+    hashes within eight bits. Nulls match nothing; equal items are compared once;
+    an empty table gives an empty result; further columns are ignored.
+    """
+    spark = hashes.sparkSession
+    one_each = materialize(items(hashes), "items")
+    later = sorted(r.batch_no for r in one_each.where(F.col("batch_no") > history).select("batch_no").distinct().collect())
+    index = SegmentIndex.create(one_each.where(F.col("batch_no") <= history), new_path(spark, "index"))
+    refused = [index.take(one_each.where(F.col("batch_no") == b)) for b in later]
+    index.drop()
+    out = spark.createDataFrame([], "item_id bigint") if not refused else refused[0]
+    for r in refused[1:]:
+        out = out.union(r)
+    return out

@@ -7,10 +7,13 @@ Inside such a bucket LOCAL_BANDS further bands of LOCAL_ROWS coordinates pick th
 bits are counted, other coordinates in every shuffled band, so a pair has 7 x 9
 chances of being met while a row is shuffled seven times only. A pair that differs
 in the full 19 bits is met with probability 0.995, one that differs in 12 with 0.9998.
+A shuffled bucket that is hot is filed under its local bands at once, which meet the same pairs.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,6 +27,7 @@ MAX_BITS = 19
 SHUFFLE_BANDS, SHUFFLE_ROWS = 7, 3
 LOCAL_BANDS, LOCAL_ROWS = 9, 6
 PAYLOAD = [("rep", "i8"), ("phash", "u8"), ("dhash", "u8"), ("whash", "u8")]
+ONE = np.uint64(1)
 SKETCH = BitSketch(SHUFFLE_BANDS * (SHUFFLE_ROWS + LOCAL_BANDS * LOCAL_ROWS))
 
 
@@ -34,10 +38,24 @@ def _band(bits: np.ndarray, base: np.ndarray, first: int, rows: int) -> np.ndarr
     return key
 
 
-def _keys(cols: dict[str, np.ndarray]) -> list[np.ndarray]:
+def _local(band: int, j: int) -> int:
+    """First coordinate of the local band ``j`` of a shuffled band."""
+    return SHUFFLE_BANDS * SHUFFLE_ROWS + (band * LOCAL_BANDS + j) * LOCAL_ROWS
+
+
+def _file(cols: dict[str, np.ndarray], layout: B.Layout) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[str]]]:
+    """Entries of each band; the lowest bit of a key tells whether it is of a local band."""
+    names = [c for c, _ in PAYLOAD]
     bits = SKETCH.columns(*(cols[c].view(np.uint64) for c in ("phash", "dhash", "whash")))
     kind = cols["kind"].view(np.uint64)
-    return [_band(bits, B.combine(kind, b), b * SHUFFLE_ROWS, SHUFFLE_ROWS) for b in range(SHUFFLE_BANDS)]
+    for b in range(SHUFFLE_BANDS):
+        key = _band(bits, B.combine(kind, b), b * SHUFFLE_ROWS, SHUFFLE_ROWS) & ~ONE
+        hot = layout.is_hot(key)
+        rows = np.flatnonzero(~hot)
+        yield b, key[rows], rows, names
+        rows = np.flatnonzero(hot)
+        for j in range(LOCAL_BANDS if len(rows) else 0):
+            yield b, _band(bits[:, rows], B.combine(key[rows], j), _local(b, j), LOCAL_ROWS) | ONE, rows, names
 
 
 def items(hashes: DataFrame) -> DataFrame:
@@ -62,15 +80,16 @@ def classes(one_each: DataFrame) -> DataFrame:
 def class_pairs(cls: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """``rep_a, rep_b, bits`` for classes of one type within ``max_bits``; each pair once, rep_a < rep_b."""
     n = cls.agg(F.count("*").alias("n")).first().n
-    entries = n * SHUFFLE_BANDS
-    groups = B.group_count(entries)
     rows = cls.select("kind", *(c for c, _ in PAYLOAD))
-    hot = B.hot_groups(rows, _keys, groups, entries, SHUFFLE_BANDS)
+    layout = B.plan(rows, _file, n * SHUFFLE_BANDS, SHUFFLE_BANDS)
 
     def compare(key: tuple, table: pa.Table) -> pa.Table:
-        first = SHUFFLE_BANDS * SHUFFLE_ROWS + int(key[0].as_py()) % SHUFFLE_BANDS * LOCAL_BANDS * LOCAL_ROWS
-        keys, c, chunk = B.unpack(table, PAYLOAD)
-        cross = len(np.unique(chunk)) > 1
+        band = int(key[0].as_py()) % SHUFFLE_BANDS
+        blocks = table.column("block")
+        keys, c = B.unpack(blocks, PAYLOAD)
+        sizes, marks = table.column("n").to_numpy(), table.column("chunk").to_numpy()
+        chunk = np.repeat(marks, sizes)
+        cross = len(np.unique(marks)) > 1
         by_key = np.argsort(keys)
         keys, chunk, c = keys[by_key], chunk[by_key], {k: v[by_key] for k, v in c.items()}
         alone = np.ones(len(keys), dtype=bool)
@@ -78,13 +97,13 @@ def class_pairs(cls: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
         alone[:-1] &= keys[1:] != keys[:-1]
         keys, chunk, c = keys[~alone], chunk[~alone], {k: v[~alone] for k, v in c.items()}
         ph, dh, wh, rep = c["phash"], c["dhash"], c["whash"], c["rep"]
-        bits = SKETCH.columns(ph, dh, wh)
-        found = []
-        for b in range(LOCAL_BANDS if len(keys) else 0):
-            k = _band(bits, keys, first + b * LOCAL_ROWS, LOCAL_ROWS)
-            order = np.argsort(k)
+        found = [np.zeros((3, 0), dtype=np.int64)]
+
+        def verify(at: np.ndarray, k: np.ndarray) -> None:
+            by = np.argsort(k)
+            order = at[by]
             ph_s, dh_s, wh_s = ph[order], dh[order], wh[order]
-            for i, j in B.same_key_pairs(k[order]):
+            for i, j in B.same_key_pairs(k[by]):
                 d = np.bitwise_count(ph_s[i] ^ ph_s[j])
                 near = d <= max_bits
                 i, j, d = i[near], j[near], d[near]
@@ -98,10 +117,18 @@ def class_pairs(cls: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
                     apart = chunk[i] != chunk[j]
                     i, j, d = i[apart], j[apart], d[apart]
                 found.append(np.stack([np.minimum(rep[i], rep[j]), np.maximum(rep[i], rep[j]), d.astype(np.int64)]))
-        every = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((3, 0), dtype=np.int64)
+
+        fine = (keys & ONE) == ONE
+        at = np.flatnonzero(fine)
+        verify(at, keys[at])
+        at = np.flatnonzero(~fine)
+        bits = SKETCH.columns(ph[at], dh[at], wh[at])
+        for j in range(LOCAL_BANDS if len(at) else 0):
+            verify(at, _band(bits, keys[at], _local(band, j), LOCAL_ROWS))
+        every = np.unique(np.concatenate(found, axis=1), axis=1)
         return pa.table({"rep_a": every[0], "rep_b": every[1], "bits": every[2].astype(np.int32)})
 
-    blocks = B.pack(rows, _keys, PAYLOAD, groups, hot, SHUFFLE_BANDS)
+    blocks = B.pack_pairs(rows, _file, PAYLOAD, layout)
     return blocks.groupBy("grp", "pair").applyInArrow(compare, "rep_a bigint, rep_b bigint, bits int").distinct()
 
 

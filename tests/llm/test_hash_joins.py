@@ -1,6 +1,7 @@
 """Batch dedup and near-duplicate pairs against brute force."""
 
 import random
+import re
 
 import pytest
 
@@ -84,14 +85,15 @@ def test_refused_items_match_brute_force(spark, seed, hot):
 def test_hot_buckets_are_split_without_loss(spark, monkeypatch):
     rows = make(120, 5, hot=80)
     df = spark.createDataFrame(rows, SCHEMA)
-    monkeypatch.setattr(buckets, "PER_GROUP", 60)
-    monkeypatch.setattr(buckets, "HOT_FACTOR", 1)
-    monkeypatch.setattr(buckets, "FLUSH_ROWS", 40)
+    monkeypatch.setattr(buckets, "PER_GROUP", 12)
+    monkeypatch.setattr(buckets, "LIMIT", 20)
     one = batch_dedup.classes(batch_dedup.items(df))
-    entries = batch_dedup._payload(one, False)
-    n = entries.count() * batch_dedup.SEGMENTS
-    assert buckets.hot_groups(entries, batch_dedup._keys, buckets.group_count(n), n)
+    layout = buckets.plan(batch_dedup._entries(one), batch_dedup._file, one.count() * batch_dedup.KEYS)
+    assert len(layout.hot) and layout.parts
     assert {r.item_id for r in batch_dedup.refuse_duplicates(df).collect()} == refused_by_hand(rows)
+    cls = near_duplicates.classes(near_duplicates.items(df)).select("kind", "rep", "phash", "dhash", "whash")
+    layout = buckets.plan(cls, near_duplicates._file, cls.count() * near_duplicates.SHUFFLE_BANDS, near_duplicates.SHUFFLE_BANDS)
+    assert len(layout.hot) and layout.parts
     want = near_by_hand(rows)
     got = near_duplicates.near_duplicate_pairs(df).collect()
     have = {(r.item_id_a, r.item_id_b) for r in got}
@@ -99,6 +101,14 @@ def test_hot_buckets_are_split_without_loss(spark, monkeypatch):
     assert {(a, b) for a, b, d in want if d <= 9} <= have
 
 
+def test_finer_keys_meet_the_same_near_pairs(spark, monkeypatch):
+    df = spark.createDataFrame(make(300, 9, spread=7), SCHEMA)
+    plain = {tuple(r) for r in near_duplicates.near_duplicate_pairs(df).collect()}
+    monkeypatch.setattr(buckets, "PER_GROUP", 20)
+    monkeypatch.setattr(buckets, "LIMIT", 20)
+    assert {tuple(r) for r in near_duplicates.near_duplicate_pairs(df).collect()} == plain
+
+
 def near_by_hand(rows):
     full = [r for r in firsts(rows) if None not in (r[2], r[3], r[4], r[5])]
     out = set()
@@ -140,17 +150,72 @@ def test_empty_and_null_tables(spark):
         assert near_duplicates.near_duplicate_pairs(df).count() == 0
 
 
+def taken(spark, rows, path, reopen=False):
+    one = batch_dedup.items(spark.createDataFrame(rows, SCHEMA)).cache()
+    index = batch_dedup.SegmentIndex.create(one.where("batch_no = 0"), path)
+    out = []
+    for b in sorted({r.batch_no for r in one.select("batch_no").distinct().collect()} - {0}):
+        if reopen:
+            spark.sql(f"DROP TABLE {index.table}")
+            index = batch_dedup.SegmentIndex.open(spark, path)
+        out += [r.item_id for r in index.take(one.where(one.batch_no == b)).collect()]
+    assert len(out) == len(set(out))
+    return set(out), index
+
+
 def test_index_takes_batch_after_batch(spark, tmp_path):
     rows = make(120, 21)
-    one = batch_dedup.items(spark.createDataFrame(rows, SCHEMA)).cache()
-    index = batch_dedup.SegmentIndex(spark, str(tmp_path / "index"), groups=5)
-    out = set()
-    for b in sorted({r.batch_no for r in one.select("batch_no").distinct().collect()}):
-        batch = one.where(one.batch_no == b)
-        refused = {r.item_id for r in index.refuse(batch).collect()} if b else set()
-        out |= refused
-        index.append(batch.where(~batch.item_id.isin(list(refused) or [-1])))
+    out, index = taken(spark, rows, str(tmp_path / "index"), reopen=True)
     assert out == refused_by_hand(rows)
+    index.drop()
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        batch_dedup.SegmentIndex.open(spark, str(tmp_path / "index"))
+
+
+def test_index_grows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(buckets, "PER_GROUP", 40)
+    monkeypatch.setattr(buckets, "LIMIT", 80)
+    rows = [(*r[:7], 0 if i < 12 else 1 + i % 5, *r[8:]) for i, r in enumerate(make(160, 33, hot=50))]
+    out, index = taken(spark, rows, str(tmp_path / "index"))
+    assert index.version > 0 and out == refused_by_hand(rows)
+    again = batch_dedup.SegmentIndex.open(spark, str(tmp_path / "index"))
+    assert (again.layout.groups, again.layout.parts) == (index.layout.groups, index.layout.parts)
+    assert 0 < again.entries <= index.entries  # the writer counts each item with all its keys
+    index.drop()
+
+
+def test_large_deliveries_are_taken_in_slices(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(batch_dedup, "SLICE", 30)
+    rows = make(130, 4, hot=40)
+    assert {r.item_id for r in batch_dedup.refuse_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()} == refused_by_hand(rows)
+
+
+def test_more_partners_than_are_named_at_once(spark):
+    r = random.Random(2)
+    p, d = r.getrandbits(64), r.getrandbits(64)
+    rows = [(i, "/p", "R", None, None, None, f"{i:x}", 0, "k", "r", "l") for i in range(1, 31)]  # accepted contents
+    rows += [(100 + i, "/p", "R", signed(flip(r, p, 1)), signed(d), None, f"{i:x}", 1, "k", "r", "l") for i in range(1, 31)]  # refused by content
+    rows += [(200 + i, "/p", "R", signed(flip(r, p, 2)), signed(d), None, None, 1, "k", "r", "l") for i in range(5)]  # near these, and to each other
+    out = {r.item_id for r in batch_dedup.refuse_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert out == refused_by_hand(rows) and 200 not in out and {201, 202, 203, 204} <= out
+
+
+def test_a_small_batch_reads_as_much_of_a_longer_history(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(buckets, "PER_GROUP", 50)
+    monkeypatch.setattr(buckets, "LIMIT", 5000)
+    read = []
+    for n in (600, 2400):
+        r = random.Random(n)
+        history = [(i, "/p", "R", signed(r.getrandbits(64)), signed(r.getrandbits(64)), 0, f"{r.getrandbits(64):x}", 0, "k", "r", "l") for i in range(n)]
+        index = batch_dedup.SegmentIndex.create(batch_dedup.items(spark.createDataFrame(history, SCHEMA)), str(tmp_path / f"index{n}"))
+        batch = batch_dedup.classes(batch_dedup.items(spark.createDataFrame([(9_000_000, "/q", "R", 77, 78, 79, "abc", 1, "k", "r", "l")], SCHEMA)))
+        probed = index.probed(batch, buckets.pack_probes(batch_dedup._entries(batch), batch_dedup._file, batch_dedup.PROBE, index.layout), 1)
+        plan = probed._jdf.queryExecution().executedPlan().toString()
+        chosen, whole = (int(x) for x in re.search(r"SelectedBucketsCount: (\d+) out of (\d+)", plan).groups())
+        assert chosen <= batch_dedup.KEYS and whole == index.layout.groups
+        read.append(probed.selectExpr("sum(length(block)) AS n").first().n)
+        index.drop()
+    assert read[1] < 1.5 * read[0]
 
 
 def test_sketch_agrees_as_often_as_sets_overlap():
