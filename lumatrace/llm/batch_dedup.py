@@ -34,6 +34,8 @@ MAX_BITS = 8
 CUTS = [0, 7, 14, 21, 28, 35, 42, 49, 56, 64]
 STORED = [("phash", "u8"), ("dhash", "u8")]
 PROBE = [*STORED, ("item_id", "i8"), ("batch_no", "i4")]
+#: stored entries of a group, some fifteen megabytes
+PER_GROUP = 600_000
 #: entries of an item: its segments and its content
 KEYS = SEGMENTS + 1
 #: earlier partners named for each item and bucket at once; an item of which more are needed is probed again
@@ -256,7 +258,7 @@ class SegmentIndex:
     def create(cls, history: DataFrame, path: str) -> SegmentIndex:
         rows = materialize(classes(history), "history")
         entries = rows.count() * KEYS
-        index = cls(history.sparkSession, path, B.plan(_entries(rows), _file, entries), 0, 0)
+        index = cls(history.sparkSession, path, B.plan(_entries(rows), _file, entries, per_group=PER_GROUP), 0, 0)
         index._save_layout()
         index._write(B.pack_stored(_entries(rows), _file, STORED, index.layout), entries)
         return index
@@ -288,13 +290,13 @@ class SegmentIndex:
 
     def _append(self, rows: DataFrame) -> None:
         self._write(B.pack_stored(_entries(rows), _file, STORED, self.layout), rows.count() * KEYS)
-        if self.entries > 2 * max(B.PER_GROUP * self.layout.groups, B.PER_GROUP):
+        if self.entries > 2 * PER_GROUP * self.layout.groups:
             self._grow()
 
     def _grow(self) -> None:
         """Lay the entries out anew; a key that has become hot is filed finer from its entries alone."""
         old, before = self.spark.table(self.table), self.table
-        layout = B.plan(_opened(old), _refile, self.entries)
+        layout = B.plan(_opened(old), _refile, self.entries, per_group=PER_GROUP)
         last = f"{self.path}/v{self.version}"
         self.version, self.layout = self.version + 1, replace(layout, hot=np.union1d(layout.hot, self.layout.hot))
         self.table = f"segments_{abs(hash(self.path)):x}_{self.version}"
@@ -304,13 +306,18 @@ class SegmentIndex:
         self.spark.sql(f"DROP TABLE {before}")
         remove(self.spark, last)
 
-    def probed(self, cls: DataFrame, probes: DataFrame, n: int) -> DataFrame:
+    def probed(self, n: int, probes: DataFrame) -> DataFrame:
         """The stored blocks that ``n`` items can meet; if they cannot touch every bucket, only the buckets they touch are read."""
         stored = self.spark.table(self.table).select("grp", "block")
         if n * KEYS * SEGMENTS >= self.layout.groups:
             return stored
         return stored.where(F.col("grp").isin([r.grp for r in probes.select("grp").distinct().collect()]))
 
+    def held(self, cls: DataFrame, n: int) -> DataFrame:
+        """Matches of ``n`` class firsts; only their probes are shuffled, to the buckets of the table."""
+        probes = B.pack_probes(_entries(cls), _file, PROBE, self.layout).select("grp", "block")
+        return self.probed(n, probes).groupBy("grp").cogroup(probes.groupBy("grp")).applyInArrow(_hold, "later bigint, earlier bigint, more boolean")
+
     def take(self, delivery: DataFrame) -> DataFrame:
         """``item_id`` of the delivered items that are refused; the others are appended to the index.
 
@@ -335,11 +342,7 @@ class SegmentIndex:
         """Ids of the accepted firsts of a slice, which the index has afterwards."""
         out, todo = [], rows
         while True:
-            entries = _entries(todo)
-            probes = B.pack_probes(entries, _file, PROBE, self.layout)
-            stored = self.probed(todo, probes, todo.count())
-            held = stored.groupBy("grp").cogroup(probes.select("grp", "block").groupBy("grp")).applyInArrow(_hold, "later bigint, earlier bigint, more boolean")
-            accepted, rest = _settle(todo.select("item_id"), materialize(held, "matches"))
+            accepted, rest = _settle(todo.select("item_id"), materialize(self.held(todo, todo.count()), "matches"))
             kept = materialize(todo.join(accepted, "item_id", "left_semi"), "accepted")
             out.append(kept.select("item_id"))
             self._append(kept)

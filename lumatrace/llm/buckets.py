@@ -5,7 +5,7 @@ filed under several bucket keys. Rows travel as packed binary blocks, one per
 group of buckets and map batch, so a shuffled entry costs its payload and no
 row overhead. A group is the unit of one Python call; it has about
 ``PER_GROUP`` entries whatever the size of the input, as the number of groups
-follows the number of rows. :func:`plan` finds groups over ``LIMIT`` entries. The hot keys
+follows the number of rows. :func:`plan` finds groups over four times that. The hot keys
 in them are filed under finer keys that miss no pair, so only a bucket in which the finer
 keys are equal too stays large; a group that still is over the limit is cut into chunks.
 """
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 PER_GROUP = 120_000
-LIMIT = 4 * PER_GROUP
+LIMIT = 4
 FLUSH_ROWS = 131_072
 
 
@@ -35,8 +35,8 @@ class Layout:
     parts: dict[int, int] = field(default_factory=dict)
 
     @classmethod
-    def sized(cls, entries: int, lanes: int = 1) -> Layout:
-        return cls(max(1, -(-entries // (PER_GROUP * lanes))) * lanes, lanes)
+    def sized(cls, entries: int, per_group: int, lanes: int = 1) -> Layout:
+        return cls(max(1, -(-entries // (per_group * lanes))) * lanes, lanes)
 
     def group(self, keys: np.ndarray, lane: int) -> np.ndarray:
         return (keys % np.uint64(self.groups // self.lanes)).astype(np.int64) * self.lanes + lane
@@ -84,8 +84,8 @@ def gathered(batches: Iterator[pa.RecordBatch], rows: int | None = None) -> Iter
         yield {k: np.concatenate([h[k] for h in held]) for k in held[0]}
 
 
-def _full_groups(df: DataFrame, file: FileFn, layout: Layout) -> dict[int, int]:
-    """Entries of each group over LIMIT; one number for each LIMIT entries at most."""
+def _full_groups(df: DataFrame, file: FileFn, layout: Layout, limit: int) -> dict[int, int]:
+    """Entries of each group over ``limit``; one number for each ``limit`` entries at most."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(layout.groups, dtype=np.int64)
@@ -95,12 +95,12 @@ def _full_groups(df: DataFrame, file: FileFn, layout: Layout) -> dict[int, int]:
         at = np.flatnonzero(total)
         yield pa.record_batch([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["grp", "n"])
 
-    found = df.mapInArrow(count, "grp int, n bigint").groupBy("grp").agg(F.sum("n").alias("n")).where(F.col("n") > LIMIT)
+    found = df.mapInArrow(count, "grp int, n bigint").groupBy("grp").agg(F.sum("n").alias("n")).where(F.col("n") > limit)
     return {r.grp: r.n for r in found.collect()}
 
 
-def _hot_keys(df: DataFrame, file: FileFn, layout: Layout, within: dict[int, int]) -> np.ndarray:
-    """Keys of these groups with over PER_GROUP entries; one for each PER_GROUP entries at most."""
+def _hot_keys(df: DataFrame, file: FileFn, layout: Layout, within: dict[int, int], limit: int) -> np.ndarray:
+    """Keys of these groups with over ``limit`` entries; one for each ``limit`` entries at most."""
     full = np.array(sorted(within), dtype=np.int64)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,18 +109,19 @@ def _hot_keys(df: DataFrame, file: FileFn, layout: Layout, within: dict[int, int
             each, n = np.unique(np.concatenate(met), return_counts=True)
             yield pa.record_batch([pa.array(each.view(np.int64)), pa.array(n)], names=["key", "n"])
 
-    found = df.mapInArrow(count, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > PER_GROUP)
+    found = df.mapInArrow(count, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > limit)
     return np.sort(np.array([r.key for r in found.select("key").collect()], dtype=np.int64).view(np.uint64))
 
 
-def plan(df: DataFrame, file: FileFn, entries: int, lanes: int = 1) -> Layout:
+def plan(df: DataFrame, file: FileFn, entries: int, lanes: int = 1, per_group: int | None = None) -> Layout:
     """Layout for about ``entries`` entries of ``df``, hot keys and groups found by counting all of them."""
-    layout = Layout.sized(entries, lanes)
-    full = _full_groups(df, file, layout) if entries > LIMIT else {}
+    per_group = per_group or PER_GROUP
+    layout, limit = Layout.sized(entries, per_group, lanes), LIMIT * per_group
+    full = _full_groups(df, file, layout, limit) if entries > limit else {}
     if not full:
         return layout
-    layout = replace(layout, hot=_hot_keys(df, file, layout, full))
-    return replace(layout, parts={g: -(-n // PER_GROUP) for g, n in _full_groups(df, file, layout).items()})
+    layout = replace(layout, hot=_hot_keys(df, file, layout, full, per_group))
+    return replace(layout, parts={g: -(-n // per_group) for g, n in _full_groups(df, file, layout, limit).items()})
 
 
 def _packed(df: DataFrame, file: FileFn, types: list[str], layout: Layout, spread: Callable, schema: str) -> DataFrame:

@@ -86,9 +86,10 @@ def test_hot_buckets_are_split_without_loss(spark, monkeypatch):
     rows = make(120, 5, hot=80)
     df = spark.createDataFrame(rows, SCHEMA)
     monkeypatch.setattr(buckets, "PER_GROUP", 12)
-    monkeypatch.setattr(buckets, "LIMIT", 20)
+    monkeypatch.setattr(batch_dedup, "PER_GROUP", 12)
+    monkeypatch.setattr(buckets, "LIMIT", 2)
     one = batch_dedup.classes(batch_dedup.items(df))
-    layout = buckets.plan(batch_dedup._entries(one), batch_dedup._file, one.count() * batch_dedup.KEYS)
+    layout = buckets.plan(batch_dedup._entries(one), batch_dedup._file, one.count() * batch_dedup.KEYS, per_group=12)
     assert len(layout.hot) and layout.parts
     assert {r.item_id for r in batch_dedup.refuse_duplicates(df).collect()} == refused_by_hand(rows)
     cls = near_duplicates.classes(near_duplicates.items(df)).select("kind", "rep", "phash", "dhash", "whash")
@@ -105,7 +106,7 @@ def test_finer_keys_meet_the_same_near_pairs(spark, monkeypatch):
     df = spark.createDataFrame(make(300, 9, spread=7), SCHEMA)
     plain = {tuple(r) for r in near_duplicates.near_duplicate_pairs(df).collect()}
     monkeypatch.setattr(buckets, "PER_GROUP", 20)
-    monkeypatch.setattr(buckets, "LIMIT", 20)
+    monkeypatch.setattr(buckets, "LIMIT", 1)
     assert {tuple(r) for r in near_duplicates.near_duplicate_pairs(df).collect()} == plain
 
 
@@ -173,8 +174,8 @@ def test_index_takes_batch_after_batch(spark, tmp_path):
 
 
 def test_index_grows(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(buckets, "PER_GROUP", 40)
-    monkeypatch.setattr(buckets, "LIMIT", 80)
+    monkeypatch.setattr(batch_dedup, "PER_GROUP", 40)
+    monkeypatch.setattr(buckets, "LIMIT", 2)
     rows = [(*r[:7], 0 if i < 12 else 1 + i % 5, *r[8:]) for i, r in enumerate(make(160, 33, hot=50))]
     out, index = taken(spark, rows, str(tmp_path / "index"))
     assert index.version > 0 and out == refused_by_hand(rows)
@@ -201,18 +202,20 @@ def test_more_partners_than_are_named_at_once(spark):
 
 
 def test_a_small_batch_reads_as_much_of_a_longer_history(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(buckets, "PER_GROUP", 50)
-    monkeypatch.setattr(buckets, "LIMIT", 5000)
+    monkeypatch.setattr(batch_dedup, "PER_GROUP", 50)
+    monkeypatch.setattr(buckets, "LIMIT", 100)
     read = []
     for n in (600, 2400):
         r = random.Random(n)
         history = [(i, "/p", "R", signed(r.getrandbits(64)), signed(r.getrandbits(64)), 0, f"{r.getrandbits(64):x}", 0, "k", "r", "l") for i in range(n)]
         index = batch_dedup.SegmentIndex.create(batch_dedup.items(spark.createDataFrame(history, SCHEMA)), str(tmp_path / f"index{n}"))
         batch = batch_dedup.classes(batch_dedup.items(spark.createDataFrame([(9_000_000, "/q", "R", 77, 78, 79, "abc", 1, "k", "r", "l")], SCHEMA)))
-        probed = index.probed(batch, buckets.pack_probes(batch_dedup._entries(batch), batch_dedup._file, batch_dedup.PROBE, index.layout), 1)
-        plan = probed._jdf.queryExecution().executedPlan().toString()
+        held = index.held(batch, 1)
+        plan = held._jdf.queryExecution().executedPlan().toString()
         chosen, whole = (int(x) for x in re.search(r"SelectedBucketsCount: (\d+) out of (\d+)", plan).groups())
         assert chosen <= batch_dedup.KEYS and whole == index.layout.groups
+        assert plan.count("Exchange hashpartitioning") == 1  # of the probes; the history is not shuffled
+        probed = index.probed(1, buckets.pack_probes(batch_dedup._entries(batch), batch_dedup._file, batch_dedup.PROBE, index.layout))
         read.append(probed.selectExpr("sum(length(block)) AS n").first().n)
         index.drop()
     assert read[1] < 1.5 * read[0]
