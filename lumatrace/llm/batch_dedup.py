@@ -117,16 +117,18 @@ def _entries(cls: DataFrame) -> DataFrame:
     return cls.select("kind", zero("phash"), zero("dhash"), zero("xx"), near.alias("near"), F.col("xx").isNotNull().alias("known"), "item_id", F.col("batch_no").cast("int").alias("batch_no"))
 
 
-def _buckets(keys: np.ndarray, dense: np.ndarray, dhash: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
-    """The comparisons of a group: rows, the number of the bucket of each, and whether bits are to be counted."""
+def _buckets(keys: np.ndarray, dense: np.ndarray, dhash: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int, bool]]:
+    """The comparisons of a group: rows, the number of the bucket of each, buckets a key has, and whether bits are to be counted."""
     tag = keys & TAGS
     at = np.flatnonzero(tag == CONTENT)
-    yield at, dense[at], False
+    yield at, dense[at], 1, False
     at = np.flatnonzero(tag == FINE)
-    yield at, dense[at], True
+    yield at, dense[at], 1, True
     at = np.flatnonzero(tag == PLAIN)
+    key, dh = dense[at], dhash[at]
     for s in range(SEGMENTS):
-        yield at, dense[at] << 9 | segment_values(dhash[at], s).astype(np.int64), True
+        width = CUTS[s + 1] - CUTS[s]
+        yield at, key << width | segment_values(dh, s).astype(np.int64), 1 << width, True
 
 
 def _hold(stored: pa.Table, probes: pa.Table) -> pa.Table:
@@ -145,6 +147,8 @@ def _hold(stored: pa.Table, probes: pa.Table) -> pa.Table:
     kept = []
     for block in stored.column("block"):
         k, c = B.unpack([block], STORED)
+        by = np.argsort(k)  # neighbours are then looked up next to each other
+        k, c = k[by], {n: v[by] for n, v in c.items()}
         place = np.minimum(np.searchsorted(each, k), max(0, len(each) - 1))
         hit = np.flatnonzero(each[place] == k) if len(each) else np.zeros(0, dtype=np.int64)
         kept.append((k[hit], place[hit], c["phash"][hit], c["dhash"][hit]))
@@ -161,20 +165,23 @@ def _hold(stored: pa.Table, probes: pa.Table) -> pa.Table:
         return passes
 
     gone = np.zeros(len(keys), dtype=bool)
-    for (at, bucket, bits), (s_at, s_bucket, _) in zip(_buckets(keys, dense, dh), _buckets(s_keys, s_dense, s_dh)):
-        if not len(at) or not len(s_at):
-            continue
+    for (at, bucket, width, bits), (s_at, s_bucket, _, _) in zip(_buckets(keys, dense, dh), _buckets(s_keys, s_dense, s_dh)):
         todo = np.flatnonzero(~gone[at])
+        if not len(todo) or not len(s_at):
+            continue
         at, bucket = at[todo], bucket[todo]
-        s_order = np.argsort(s_bucket, kind="stable")
-        s_at, s_bucket = s_at[s_order], s_bucket[s_order]
+        probed = np.zeros(len(each) * width, dtype=bool)
+        probed[bucket] = True
+        met = np.flatnonzero(probed[s_bucket])
+        met = met[np.argsort(s_bucket[met])]
+        s_at, s_bucket = s_at[met], s_bucket[met]
         lo, hi = np.searchsorted(s_bucket, bucket), np.searchsorted(s_bucket, bucket, side="right")
         q, _ = B.first_passing(lo, hi, close(ph[at], dh[at], s_ph[s_at], s_dh[s_at], bits), 1)
         gone[at[q]] = True
     refused = np.unique(ids[gone])
     live = np.flatnonzero(~np.isin(ids, refused))
     pairs, full = [np.zeros((2, 0), dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
-    for at, bucket, bits in _buckets(keys[live], dense[live], dh[live]):
+    for at, bucket, _, bits in _buckets(keys[live], dense[live], dh[live]):
         if not len(at):
             continue
         turn = np.lexsort((rank[live[at]], bucket))

@@ -39,7 +39,8 @@ class Layout:
         return cls(max(1, -(-entries // (per_group * lanes))) * lanes, lanes)
 
     def group(self, keys: np.ndarray, lane: int) -> np.ndarray:
-        return (keys % np.uint64(self.groups // self.lanes)).astype(np.int64) * self.lanes + lane
+        """Group of each key; the lowest bits of keys are left out, as they may be tags."""
+        return (keys >> np.uint64(8)).astype(np.int64) % (self.groups // self.lanes) * self.lanes + lane
 
     def is_hot(self, keys: np.ndarray) -> np.ndarray:
         if not len(self.hot):

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.scratch import materialize
+from ..plans.skew import join_counted
 from . import buckets as B
 from .sketch import BitSketch
 
@@ -132,6 +133,16 @@ def class_pairs(cls: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     return blocks.groupBy("grp", "pair").applyInArrow(compare, "rep_a bigint, rep_b bigint, bits int").distinct()
 
 
+def _with_class(one_each: DataFrame, cls: DataFrame, columns: list[str]) -> DataFrame:
+    """``item_id`` of the members of the given classes with ``columns`` of these; a class is known by 128 bits, and a hot one is not shuffled."""
+    hashes = ["kind", "phash", "dhash", "whash"]
+    both = lambda a, b: [F.xxhash64(*hashes).alias(a), F.xxhash64(F.lit(1), *hashes).alias(b)]
+    rows = one_each.select("item_id", *both("h1", "h2"))
+    keyed = cls.select(*both("h1", "h3"), *columns, F.col("members").alias("n"))
+    total = cls.agg(F.coalesce(F.sum("members"), F.lit(0)).alias("n")).first().n
+    return join_counted(rows, keyed, "h1", "n", total).where("h2 = h3").select("item_id", *columns)
+
+
 def near_duplicate_pairs(hashes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """``item_id_a, item_id_b``: all pairs of items within ``max_bits``, equal ones included.
 
@@ -141,8 +152,7 @@ def near_duplicate_pairs(hashes: DataFrame, max_bits: int = MAX_BITS) -> DataFra
     one_each = materialize(items(hashes), "items")
     cls = materialize(classes(one_each), "classes")
     pairs = class_pairs(cls, max_bits).select("rep_a", "rep_b")
-    many = cls.where(F.col("members") > 1).select("kind", "phash", "dhash", "whash", "rep", "members")
-    members = materialize(one_each.join(many, ["kind", "phash", "dhash", "whash"]).select("rep", "item_id"), "members")
+    members = materialize(_with_class(one_each, cls.where(F.col("members") > 1), ["rep"]).select("rep", "item_id"), "members")
     a = members.select(F.col("rep").alias("rep_a"), F.col("item_id").alias("item_a"))
     b = members.select(F.col("rep").alias("rep_b"), F.col("item_id").alias("item_b"))
     across = (
@@ -162,5 +172,5 @@ def near_duplicate_classes(hashes: DataFrame, max_bits: int = MAX_BITS) -> DataF
     cls = materialize(classes(one_each), "classes")
     pairs = class_pairs(cls, max_bits)
     ends = pairs.select(F.col("rep_a").alias("rep")).union(pairs.select("rep_b")).groupBy("rep").agg(F.count("*").alias("links"))
-    linked = cls.join(ends, "rep", "left").select("kind", "phash", "dhash", "whash", F.col("rep").alias("class_id"), "members", F.coalesce("links", F.lit(0)).alias("links"))
-    return one_each.join(linked, ["kind", "phash", "dhash", "whash"]).select("item_id", "class_id", "members", "links")
+    linked = cls.join(ends, "rep", "left").withColumns({"class_id": F.col("rep"), "links": F.coalesce("links", F.lit(0))})
+    return _with_class(one_each, linked, ["class_id", "members", "links"])

@@ -210,6 +210,7 @@ def test_a_small_batch_reads_as_much_of_a_longer_history(spark, tmp_path, monkey
         history = [(i, "/p", "R", signed(r.getrandbits(64)), signed(r.getrandbits(64)), 0, f"{r.getrandbits(64):x}", 0, "k", "r", "l") for i in range(n)]
         index = batch_dedup.SegmentIndex.create(batch_dedup.items(spark.createDataFrame(history, SCHEMA)), str(tmp_path / f"index{n}"))
         batch = batch_dedup.classes(batch_dedup.items(spark.createDataFrame([(9_000_000, "/q", "R", 77, 78, 79, "abc", 1, "k", "r", "l")], SCHEMA)))
+        batch = spark.createDataFrame(batch.collect(), batch.schema)
         held = index.held(batch, 1)
         plan = held._jdf.queryExecution().executedPlan().toString()
         chosen, whole = (int(x) for x in re.search(r"SelectedBucketsCount: (\d+) out of (\d+)", plan).groups())
