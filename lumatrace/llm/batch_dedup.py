@@ -34,8 +34,8 @@ MAX_BITS = 8
 CUTS = [0, 7, 14, 21, 28, 35, 42, 49, 56, 64]
 STORED = [("phash", "u8"), ("dhash", "u8")]
 PROBE = [*STORED, ("item_id", "i8"), ("batch_no", "i4")]
-#: stored entries of a group, some fifteen megabytes
-PER_GROUP = 600_000
+#: stored entries of a group, some six megabytes
+PER_GROUP = 240_000
 #: entries of an item: its segments and its content
 KEYS = SEGMENTS + 1
 #: earlier partners named for each item and bucket at once; an item of which more are needed is probed again
@@ -226,8 +226,6 @@ def _settle(fresh: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame |
     undecided = one(pair, "later").union(one(pair, "earlier")).distinct()
     accepted = [alive.join(undecided, "item_id", "left_anti")]
     for _ in range(ROUNDS):
-        if not pair.take(1):
-            break
         free = undecided.join(one(pair, "later"), "item_id", "left_anti")
         if more is not None:
             free = free.join(more, "item_id", "left_anti")
@@ -237,11 +235,13 @@ def _settle(fresh: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame |
         ids = done.select("item_id")
         undecided = undecided.join(ids, "item_id", "left_anti")
         pair = materialize(without(pair, ids, "later", "earlier"), "links")
+        linked = bool(pair.take(1))
+        if not linked:
+            break
     out = accepted[0]
     for a in accepted[1:]:
         out = out.union(a)
-    if more is None and not pair.take(1):
-        # what only lost its partners in the last round is free
+    if more is None and not linked:  # what only lost its partners in the last round is free
         return out.union(undecided), None
     rest = materialize(undecided, "undecided")
     return out, rest if rest.take(1) else None
@@ -293,10 +293,11 @@ class SegmentIndex:
 
     def append(self, accepted: DataFrame) -> None:
         """Add accepted items."""
-        self._append(materialize(classes(accepted), "accepted"))
+        rows = materialize(classes(accepted), "accepted")
+        self._append(rows, rows.count())
 
-    def _append(self, rows: DataFrame) -> None:
-        self._write(B.pack_stored(_entries(rows), _file, STORED, self.layout), rows.count() * KEYS)
+    def _append(self, rows: DataFrame, most: int) -> None:
+        self._write(B.pack_stored(_entries(rows), _file, STORED, self.layout), most * KEYS)
         if self.entries > 2 * PER_GROUP * self.layout.groups:
             self._grow()
 
@@ -339,20 +340,20 @@ class SegmentIndex:
             cuts = sorted({some[i * len(some) // parts] for i in range(1, parts)}) if some else []
             place = sum(((turn >= F.struct(F.lit(b).cast("int").alias("b"), F.lit(i).cast("bigint").alias("i"))).cast("int") for b, i in cuts), F.lit(0))
             slices = [rows.where(place == k) for k in range(len(cuts) + 1)]
-        accepted = [self._take(s) for s in slices]
+        accepted = [self._take(s, min(n, SLICE)) for s in slices]
         kept = accepted[0]
         for a in accepted[1:]:
             kept = kept.union(a)
         return delivery.where(matchable()).select("item_id").join(kept, "item_id", "left_anti")
 
-    def _take(self, rows: DataFrame) -> DataFrame:
-        """Ids of the accepted firsts of a slice, which the index has afterwards."""
+    def _take(self, rows: DataFrame, n: int) -> DataFrame:
+        """Ids of the accepted firsts of a slice of about ``n`` rows, which the index has afterwards."""
         out, todo = [], rows
         while True:
-            accepted, rest = _settle(todo.select("item_id"), materialize(self.held(todo, todo.count()), "matches"))
+            accepted, rest = _settle(todo.select("item_id"), materialize(self.held(todo, n), "matches"))
             kept = materialize(todo.join(accepted, "item_id", "left_semi"), "accepted")
             out.append(kept.select("item_id"))
-            self._append(kept)
+            self._append(kept, n)
             if rest is None:
                 break
             todo = materialize(todo.join(rest, "item_id", "left_semi"), "undecided")

@@ -88,9 +88,9 @@ def _sized(documents: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFra
         F.min("source").alias("source"), F.sum(F.coalesce("target_share", F.lit(0.0))).alias("target_share"), F.max(F.coalesce("max_repeats", F.lit(0))).alias("max_repeats")
     )
     docs = documents.where(F.col("doc_id").isNotNull()).select("doc_id", source_name(F.col("source")).alias("name"), token_count(F.col("text")).alias("tokens"))
-    listed = wanted.limit(MAX_SOURCES + 1).count()
-    small = F.broadcast(wanted.select("name", "source")) if listed <= MAX_SOURCES else wanted.select("name", "source")
-    return docs.join(small, "name").select("doc_id", "source", "tokens"), wanted
+    if wanted.limit(MAX_SOURCES + 1).count() > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES} listed sources; this list is a small table")
+    return docs.join(F.broadcast(wanted.select("name", "source")), "name").select("doc_id", "source", "tokens"), wanted
 
 
 def mix(documents: DataFrame, targets: DataFrame, seed: int = 11, block: int = BLOCK) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -99,7 +99,9 @@ def mix(documents: DataFrame, targets: DataFrame, seed: int = 11, block: int = B
 
     Source names match by their letters alone, whatever the case. Null texts
     have no tokens; documents without a listed source take no part; targets that
-    match by name add their shares. With no tokens at all the plan is empty.
+    match by name add their shares. With no tokens at all the plan is empty. A source is ``short`` if
+    the mixture used up all its passes and these have too few tokens. More than MAX_SOURCES listed
+    sources are an error.
     """
     docs, wanted = _sized(documents, targets)
     docs = materialize(docs.where("tokens > 0"), "sized")
@@ -159,16 +161,17 @@ def mix(documents: DataFrame, targets: DataFrame, seed: int = 11, block: int = B
     size = pieces.groupBy("source", "block").agg(F.sum("tokens").alias("tokens"))
     used = plan.groupBy("source", "block").agg(F.count("*").alias("uses"))
     got = used.join(size, ["source", "block"]).groupBy("source").agg(F.sum(F.col("uses") * F.col("tokens")).alias("mixed_tokens"), F.max("uses").alias("most_uses"))
-    asked = spark.createDataFrame([(n, int(t)) for n, t in zip(names, totals)] or [("", 0)], "source string, slots bigint")
+    asked = spark.createDataFrame([(n, int(t), int(r)) for n, t, r in zip(names, totals, have * repeats)] or [("", 0, 0)], "source string, slots bigint, room bigint")
     filled = plan.groupBy("source").agg(F.count("*").alias("filled"))
     whole = F.sum("mixed_tokens").over(Window.partitionBy(F.lit(1)))  # over the listed sources only
     report = (
         sizes.join(asked, "source").join(got, "source", "left").join(filled, "source", "left")
         .select("source", "target_share", "max_repeats", "documents", "tokens", (F.col("target_share") * F.lit(float(total))).alias("wanted_tokens"),
                 F.coalesce("mixed_tokens", F.lit(0)).alias("mixed_tokens"), F.coalesce("most_uses", F.lit(0)).alias("most_uses"),
-                (F.col("slots") - F.coalesce("filled", F.lit(0))).alias("empty_slots"))
+                (F.col("slots") - F.coalesce("filled", F.lit(0))).alias("empty_slots"), (F.coalesce("filled", F.lit(0)) >= F.col("room")).alias("used_up"))
         .withColumn("actual_share", F.round(F.col("mixed_tokens") / F.when(whole > 0, whole), 6))
-        .withColumn("short", F.col("max_repeats") * F.col("tokens") < F.col("wanted_tokens"))
+        .withColumn("short", F.col("used_up") & (F.col("max_repeats") * F.col("tokens") < F.col("wanted_tokens")))
+        .drop("used_up")
     )
     return plan, pieces, report
 

@@ -10,11 +10,18 @@ sum of table entries, and the REFINE best by score are compared exactly.
 Centroids are clustered into shards of near cells. A vector is shipped
 once to the shard of its own cell, where it is a candidate and a query at once, and once more to each other
 shard that holds a cell it probes, so what is shuffled is a small multiple of
-the vectors. The number of shards follows the number of vectors.
+the vectors. The number of shards follows the number of vectors. A cell that would fill a shard
+more than twice is dealt out to several shards, each of which its queries visit.
+
+There are about as many cells as the root of the number of vectors, CELLS at most, and the
+probes grow with them. A cell of over SPLIT vectors, as all are from some millions of
+vectors on, is cut again into cells of about SUBCELL vectors by means fitted in its shard; a query then
+compares those nearest to it, SCAN vectors in all for each probe, so its work does not grow with the cell.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,8 +35,11 @@ from ..plans.scratch import materialize
 SAMPLE = 32_768
 SUBSPACES = 24
 WORDS = 128
-PROBES = 10
+#: probes are at least PROBES and PROBE_SHARE times the root of the number of cells
+PROBES, PROBE_SHARE = 10, 0.55
 REFINE = 64
+CELLS = 4096
+SPLIT, SUBCELL, SCAN = 4096, 256, 2048
 PER_SHARD = 24_000
 QUERIES = 4096
 RERANK = 512
@@ -61,26 +71,31 @@ class Quantiser:
     """Coarse centroids, their shards and the residual code books; fitted from at most SAMPLE vectors."""
 
     centroids: np.ndarray
-    shard_of: np.ndarray
+    shard_of: np.ndarray  # its first shard for each cell
+    parts: np.ndarray  # shards of each cell; one with several has them for itself
     words: np.ndarray  # subspace, word, dimension
 
     @classmethod
-    def fit(cls, sample: np.ndarray, total: int, seed: int = 7) -> Quantiser:
+    def fit(cls, sample: np.ndarray, total: int, per_shard: int, seed: int = 7) -> Quantiser:
         rng = np.random.Generator(np.random.PCG64(seed))
         x = unit(sample)
-        cells = int(np.clip(int(np.sqrt(total)), 16, 4096))
+        cells = int(np.clip(int(np.sqrt(total)), 16, CELLS))
         centroids = _fit_means(x, cells, rng, spherical=True)
-        shards = max(1, -(-total // PER_SHARD))
-        if shards > 1:
-            load = np.bincount(np.argmax(x @ centroids.T, axis=1), minlength=cells) + 1
-            shard_of = _even_shards(centroids, load, min(shards, cells), rng)
-        else:
-            shard_of = np.zeros(cells, dtype=np.int64)
+        load = (np.bincount(np.argmax(x @ centroids.T, axis=1), minlength=cells) + 1.0) / (len(x) + cells)  # share of all vectors
+        parts = np.maximum(1, np.ceil(load * total / per_shard).astype(np.int64))
+        parts[parts <= 2] = 1
+        rest = np.flatnonzero(parts == 1)
+        shards = int(np.clip(np.ceil(load[rest].sum() * total / per_shard), 1, max(1, len(rest))))
+        shard_of = np.zeros(cells, dtype=np.int64)
+        if len(rest):
+            shard_of[rest] = _even_shards(centroids[rest], load[rest], shards)
+        wide = np.flatnonzero(parts > 1)
+        shard_of[wide] = shards + np.cumsum(parts[wide]) - parts[wide]
         res = x - centroids[np.argmax(x @ centroids.T, axis=1)]
-        parts = max(p for p in range(1, SUBSPACES + 1) if x.shape[1] % p == 0)
-        width = x.shape[1] // parts
-        words = np.stack([_fit_means(np.ascontiguousarray(res[:, i * width : (i + 1) * width]), WORDS, rng, spherical=False, rounds=6) for i in range(parts)])
-        return cls(centroids, shard_of, words)
+        spaces = max(p for p in range(1, SUBSPACES + 1) if x.shape[1] % p == 0)
+        width = x.shape[1] // spaces
+        words = np.stack([_fit_means(np.ascontiguousarray(res[:, i * width : (i + 1) * width]), WORDS, rng, spherical=False, rounds=6) for i in range(spaces)])
+        return cls(centroids, shard_of, parts, words)
 
     def nearest(self, x: np.ndarray, probes: int) -> np.ndarray:
         score = x @ self.centroids.T
@@ -96,7 +111,7 @@ class Quantiser:
         return out
 
 
-def _even_shards(centroids: np.ndarray, load: np.ndarray, shards: int, rng: np.random.Generator) -> np.ndarray:
+def _even_shards(centroids: np.ndarray, load: np.ndarray, shards: int) -> np.ndarray:
     """Near cells into one shard, each shard with about the same load: cut in two along the main direction, again and again."""
     out = np.zeros(len(centroids), dtype=np.int64)
     todo = [(np.arange(len(centroids)), shards, 0)]
@@ -127,45 +142,88 @@ def usable(vectors: DataFrame, dim: int) -> DataFrame:
     return vectors.where(F.col("item_id").isNotNull() & (F.size(v) == dim)).where(finite & F.exists(v, lambda x: x != 0)).select("item_id", v.cast("array<float>").alias("vector"))
 
 
-def _search(q: Quantiser, ids: np.ndarray, x: np.ndarray, raw: np.ndarray, own: np.ndarray, home: np.ndarray, shard: int, k: int, most: float, probes: int, refine: int):
+def _subcells(x: np.ndarray, cell: np.ndarray, split: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Finer cells of the candidates, which are sorted by cell: centre and coarse cell of each finer one, and the finer one of each candidate.
+
+    A cell of at most ``split`` candidates stays whole.
+    """
+    rng = np.random.Generator(np.random.PCG64(3))
+    centres, owner, of, n = [], [], np.empty(len(x), dtype=np.int64), 0
+    for part in np.split(np.arange(len(x)), np.flatnonzero(np.diff(cell)) + 1) if len(x) else []:
+        k = 1 if len(part) <= split else -(-len(part) // SUBCELL)
+        if k == 1:
+            centres.append(x[part].mean(axis=0, keepdims=True))
+            of[part] = n
+        else:
+            means = _fit_means(x[part[rng.permutation(len(part))[: 32 * k]]], k, rng, spherical=True, rounds=4)
+            centres.append(means)
+            of[part] = n + np.concatenate([np.argmax(x[p] @ means.T, axis=1) for p in np.array_split(part, max(1, len(part) * k // 4_000_000))])
+        owner += [cell[part[0]]] * k
+        n += k
+    return np.concatenate(centres) if centres else np.zeros((0, x.shape[1]), dtype=np.float32), np.array(owner, dtype=np.int64), of
+
+
+def _visits(x: np.ndarray, near: np.ndarray, centres: np.ndarray, owner: np.ndarray, size: np.ndarray, scan: int) -> tuple[np.ndarray, np.ndarray]:
+    """(query, finer cell) pairs to compare: all finer cells of the probed cells, nearest first, until ``scan`` candidates a probe are met."""
+    held = np.zeros(int(max(owner.max(initial=0), near.max(initial=0))) + 1, dtype=bool)
+    held[owner] = True
+    place = np.searchsorted(owner, np.arange(len(held)))
+    count = np.bincount(owner, minlength=len(held))
+    row, col = np.nonzero(held[near])
+    n = count[near[row, col]]
+    q = np.repeat(row, n)
+    c = np.repeat(place[near[row, col]], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    several = np.flatnonzero(np.bincount(q, weights=size[c], minlength=len(x)) > scan * np.bincount(row, minlength=len(x)))
+    if not len(several):
+        return q, c
+    cut = np.isin(q, several)
+    keep = ~cut
+    a, b = q[cut], c[cut]
+    score = np.concatenate([np.einsum("ij,ij->i", x[i], centres[j]) for i, j in zip(np.array_split(a, max(1, len(a) // 65_536)), np.array_split(b, max(1, len(a) // 65_536)))])
+    order = np.lexsort((-score, a))
+    a, b = a[order], b[order]
+    before = np.cumsum(size[b]) - size[b]
+    before -= before[np.searchsorted(a, a)]
+    ok = before < scan * np.bincount(row, minlength=len(x))[a]
+    return np.concatenate([q[keep], a[ok]]), np.concatenate([c[keep], b[ok]])
+
+
+def _search(q: Quantiser, ids: np.ndarray, x: np.ndarray, raw: np.ndarray, own: np.ndarray, home: np.ndarray, k: int, most: float, probes: int, refine: int, split: int = SPLIT, scan: int = SCAN):
     """Best k of this shard for each of its queries: query row numbers, candidate row numbers, distances."""
     base = np.flatnonzero(home)
     base = base[np.argsort(own[base], kind="stable")]
-    cell = own[base]
-    codes = np.ascontiguousarray(q.encode(x[base] - q.centroids[cell]).T)
-    starts, ends = np.searchsorted(cell, np.arange(len(q.centroids))), np.searchsorted(cell, np.arange(len(q.centroids)), side="right")
+    centres, owner, fine = _subcells(x[base], own[base], split)
+    turn = np.argsort(fine, kind="stable")
+    base, fine = base[turn], fine[turn]
+    codes = np.ascontiguousarray(q.encode(x[base] - q.centroids[own[base]]).T)
+    starts, ends = np.searchsorted(fine, np.arange(len(centres))), np.searchsorted(fine, np.arange(len(centres)), side="right")
     norm = np.linalg.norm(raw, axis=1)
     width = q.words.shape[2]
+    most_held = refine + 1  # the row itself takes one of the places
     for rows in np.array_split(np.arange(len(x)), max(1, -(-len(x) // QUERIES))):
-        near = q.nearest(x[rows], probes)
-        pr, pc = np.nonzero((q.shard_of[near] == shard) & (ends[near] > starts[near]))
-        if not len(pr):
+        qs_all, cell_all = _visits(x[rows], q.nearest(x[rows], probes), centres, owner, ends - starts, scan)
+        if not len(qs_all):
             continue
-        pcell = near[pr, pc]
-        order = np.argsort(pcell, kind="stable")
-        pr, pc, pcell = pr[order], pc[order], pcell[order]
-        score_of = np.full((len(rows), near.shape[1], refine), -np.inf, dtype=np.float32)
-        cand_of = np.zeros((len(rows), near.shape[1], refine), dtype=np.int32)
-        for part in np.split(np.arange(len(pr)), np.flatnonzero(np.diff(pcell)) + 1):
-            c, qs, at = int(pcell[part[0]]), pr[part], pc[part]
-            s, e = starts[c], ends[c]
+        order = np.argsort(cell_all, kind="stable")
+        qs_all, cell_all = qs_all[order], cell_all[order]
+        score_of = np.full((len(rows), most_held), -np.inf, dtype=np.float32)
+        cand_of = np.zeros((len(rows), most_held), dtype=np.int64)
+        for part in np.split(np.arange(len(qs_all)), np.flatnonzero(np.diff(cell_all)) + 1):
+            c, qs = int(cell_all[part[0]]), qs_all[part]
             xq = x[rows[qs]]
             tables = np.matmul(q.words, np.ascontiguousarray(xq.reshape(len(qs), -1, width).transpose(1, 2, 0)))  # subspace, word, query
-            score = np.repeat((xq @ q.centroids[c])[None, :], e - s, axis=0)
-            for i in range(len(tables)):
-                score += tables[i][codes[i, s:e]]
-            m = min(refine, e - s)
-            if m < e - s:
-                by_query = np.ascontiguousarray(score.T)
-                best = np.argpartition(by_query, e - s - m, axis=1)[:, e - s - m :]
-                score_of[qs, at, :m], cand_of[qs, at, :m] = np.take_along_axis(by_query, best, axis=1), best + s
-            else:
-                score_of[qs, at, :m], cand_of[qs, at, :m] = score.T, np.arange(s, e)
-        score_of, cand_of = score_of.reshape(len(rows), -1), cand_of.reshape(len(rows), -1)
-        take = min(refine + 1, score_of.shape[1])  # the row itself takes one of the places
-        best = np.argpartition(score_of, score_of.shape[1] - take, axis=1)[:, score_of.shape[1] - take :]
-        filled = np.take_along_axis(score_of, best, axis=1) > -np.inf
-        cand = base[np.take_along_axis(cand_of, best, axis=1)]
+            dots = xq @ q.centroids[owner[c]]
+            for s in range(starts[c], ends[c], SPLIT):  # a block of candidates, so that scores stay small
+                e = min(ends[c], s + SPLIT)
+                score = np.repeat(dots[None, :], e - s, axis=0)
+                for i in range(len(tables)):
+                    score += tables[i][codes[i, s:e]]
+                all_of = np.concatenate([score_of[qs], score.T], axis=1)
+                best = np.argpartition(all_of, all_of.shape[1] - most_held, axis=1)[:, -most_held:]
+                place = np.concatenate([cand_of[qs], np.broadcast_to(np.arange(s, e), (len(qs), e - s))], axis=1)
+                score_of[qs], cand_of[qs] = np.take_along_axis(all_of, best, axis=1), np.take_along_axis(place, best, axis=1)
+        filled = score_of > -np.inf
+        cand = base[cand_of]
         for at in np.array_split(np.arange(len(rows)), max(1, -(-len(rows) // RERANK))):
             yield _rerank(ids, x, raw, norm, rows[at], cand[at], filled[at], k, most)
 
@@ -187,9 +245,10 @@ def _rerank(ids: np.ndarray, x: np.ndarray, raw: np.ndarray, norm: np.ndarray, r
     return a[keep], b[keep], d[keep]
 
 
-def class_neighbours(cls: DataFrame, total: int, sample: np.ndarray, dim: int, k: int, max_distance: float, probes: int = PROBES, refine: int = REFINE) -> DataFrame:
+def class_neighbours(cls: DataFrame, total: int, sample: np.ndarray, dim: int, k: int, max_distance: float, probes: int | None = None, refine: int = REFINE, per_shard: int | None = None, split: int = SPLIT, scan: int = SCAN) -> DataFrame:
     """``rep, other, distance``: up to k nearest other classes by shard of each class within ``max_distance``."""
-    q = Quantiser.fit(sample, total)
+    q = Quantiser.fit(sample, total, per_shard or PER_SHARD)
+    probes = probes or max(PROBES, math.ceil(PROBE_SHARE * math.sqrt(len(q.centroids))))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -199,13 +258,18 @@ def class_neighbours(cls: DataFrame, total: int, sample: np.ndarray, dim: int, k
             x = unit(_matrix(vec, dim))
             near = q.nearest(x, probes)
             own = near[:, 0]
-            shards = np.sort(q.shard_of[near], axis=1)
+            at = b.column("rep").to_numpy().view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)
+            home = q.shard_of[own] + (at % q.parts[own].astype(np.uint64)).astype(np.int64)
+            by = np.argsort(q.shard_of[near], axis=1, kind="stable")
+            shards, parts = np.take_along_axis(q.shard_of[near], by, axis=1), np.take_along_axis(q.parts[near], by, axis=1)
             first = np.ones(shards.shape, dtype=bool)
             first[:, 1:] = shards[:, 1:] != shards[:, :-1]
             row, col = np.nonzero(first)
-            to = shards[row, col]
+            n = parts[row, col]
+            to = np.repeat(shards[row, col], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            row = np.repeat(row, n)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(to.astype(np.int32)), b.column("rep").take(pa.array(row)), vec.take(pa.array(row)), pa.array(own[row].astype(np.int32)), pa.array(q.shard_of[own[row]] == to)],
+                [pa.array(to.astype(np.int32)), b.column("rep").take(pa.array(row)), vec.take(pa.array(row)), pa.array(own[row].astype(np.int32)), pa.array(home[row] == to)],
                 names=["shard", "rep", "vector", "cell", "home"],
             )
 
@@ -213,7 +277,7 @@ def class_neighbours(cls: DataFrame, total: int, sample: np.ndarray, dim: int, k
         raw = _matrix(table.column("vector"), dim).astype(np.float64)
         ids = table.column("rep").to_numpy()
         out = list(
-            _search(q, ids, unit(raw), raw, table.column("cell").to_numpy(), table.column("home").to_numpy(), int(key[0].as_py()), k, max_distance, probes, refine)
+            _search(q, ids, unit(raw), raw, table.column("cell").to_numpy(), table.column("home").to_numpy(), k, max_distance, probes, refine, split, scan)
         )
         a, b, d = (np.concatenate([o[i] for o in out]) if out else np.array([], dtype=np.int64 if i < 2 else float) for i in range(3))
         return pa.table({"rep": ids[a], "other": ids[b], "distance": d})
@@ -222,7 +286,7 @@ def class_neighbours(cls: DataFrame, total: int, sample: np.ndarray, dim: int, k
     return routed.groupBy("shard").applyInArrow(search, "rep bigint, other bigint, distance double")
 
 
-def nearest_items(vectors: DataFrame, k: int = 10, max_distance: float = 2.0, dim: int = 96, probes: int = PROBES, refine: int = REFINE) -> DataFrame:
+def nearest_items(vectors: DataFrame, k: int = 10, max_distance: float = 2.0, dim: int = 96, probes: int | None = None, refine: int = REFINE, **sizes: int) -> DataFrame:
     """``item_id, neighbour, distance``: the k most similar items of every item, within ``max_distance``.
 
     Distance is 1 minus the cosine in double precision, rounded to six decimals; ties go
@@ -235,13 +299,11 @@ def nearest_items(vectors: DataFrame, k: int = 10, max_distance: float = 2.0, di
     total = vectors.count()
     share = min(1.0, SAMPLE / max(1, total))
     picked = good.where(F.pmod(F.xxhash64("item_id", F.lit(3)), F.lit(1_000_000)) < int(share * 1_000_000) + 1).select("vector").limit(2 * SAMPLE).toArrow()
-    if picked.num_rows == 0:
-        picked = good.select("vector").limit(SAMPLE).toArrow()
     if picked.num_rows == 0:
         return vectors.sparkSession.createDataFrame([], "item_id bigint, neighbour bigint, distance double")
     sample = _matrix(picked.column("vector"), dim)
     grouped = good.groupBy("vector").agg(F.min("item_id").alias("rep"), F.max("item_id").alias("last"))
-    near = materialize(class_neighbours(grouped, total, sample, dim, k, max_distance, probes, refine), "neighbours")
+    near = materialize(class_neighbours(grouped, total, sample, dim, k, max_distance, probes, refine, **sizes), "neighbours")
     rank = Window.partitionBy("rep").orderBy("distance", "other")
     near = near.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= k).select("rep", "other", "distance")
     # members of classes with several items; a narrow table of ids

@@ -37,6 +37,23 @@ def test_recall_on_the_test_table(spark, data, monkeypatch):
     assert len(pairs & near) >= 0.98 * len(near)
 
 
+def test_fine_cells_and_dealt_out_cells_lose_little(spark):
+    rng = np.random.default_rng(5)
+    centre = rng.normal(size=96)
+    near = centre + 0.3 * rng.normal(size=(900, 96))  # a third of all and more lie close together
+    v = np.concatenate([near, rng.normal(size=(1200, 96))]).astype(np.float32)
+    ids = np.arange(1, len(v) + 1) * 3
+    want = by_hand(ids, v, 10)
+    df = frame(spark, [(int(i), x.tolist()) for i, x in zip(ids, v)])
+    q = vector_index.Quantiser.fit(v, len(v), 20)
+    assert q.parts.max() > 1
+    got = vector_index.nearest_items(df, per_shard=20, split=40, scan=400, probes=len(q.centroids)).collect()
+    pairs = {(r.item_id, r.neighbour) for r in got}
+    truth = {(i, j) for i, n in want.items() for j, _ in n}
+    assert len(pairs) == len(got) == len(truth)
+    assert len(pairs & truth) >= 0.9 * len(truth)
+
+
 def test_copies_ties_and_unusable_vectors(spark):
     rng = np.random.default_rng(1)
     base = rng.normal(size=(40, 96)).astype(np.float32)
