@@ -27,6 +27,40 @@ def resize_mean(a: np.ndarray, w: int, h: int) -> np.ndarray:
     return weights(a.shape[0], h) @ a @ weights(a.shape[1], w).T
 
 
+def resize_bilinear(a: np.ndarray, w: int, h: int) -> np.ndarray:
+    """Between the centres of pixels, the edge repeated beyond them."""
+    a = np.asarray(a, dtype=np.float64)
+
+    def axis(n: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        at = np.clip((np.arange(m) + 0.5) * n / m - 0.5, 0, n - 1)
+        low = np.floor(at).astype(int)
+        return low, np.minimum(low + 1, n - 1), at - low
+
+    y0, y1, fy = axis(a.shape[0], h)
+    x0, x1, fx = axis(a.shape[1], w)
+    fy, fx = fy[:, None, None], fx[None, :, None]
+    return (a[y0][:, x0] * (1 - fx) + a[y0][:, x1] * fx) * (1 - fy) + (a[y1][:, x0] * (1 - fx) + a[y1][:, x1] * fx) * fy
+
+
+def unit_rows(v: np.ndarray) -> np.ndarray:
+    """Rows of length one; a row of zeros stays."""
+    v = v.astype(np.float64).reshape(len(v), -1)
+    n = np.linalg.norm(v, axis=1, keepdims=True)
+    return np.divide(v, n, out=v.copy(), where=n > 0)
+
+
+def masked(rgba: np.ndarray, shown: str = "RGBA") -> np.ndarray:
+    """Only the shown channels: a single one as grey, others black, alpha opaque where it is hidden."""
+    if len(shown) == 1:
+        grey = rgba[..., "RGBA".index(shown)]
+        return np.stack([grey, grey, grey, np.full_like(grey, 255)], axis=-1)
+    out = rgba.copy()
+    for i, c in enumerate("RGBA"):
+        if c not in shown:
+            out[..., i] = 255 if c == "A" else 0
+    return out
+
+
 def _dct(n: int) -> np.ndarray:
     k = np.arange(n)
     return 2 * np.cos(np.pi * k[:, None] * (2 * k[None, :] + 1) / (2 * n))

@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.hashing import bands, hamming
+from ..functions.hashing import BAND_BITS, bands, hamming
+from ..plans.skew import join_counted
+
+#: classes of a bucket from which it is filed finer; at most 262 144 buckets can have any
+HOT = 4096
 
 
 def banded_pairs(hashes: DataFrame, id_col: str, hash_col: str, max_bits: int, mode: str = "pivot") -> DataFrame:
@@ -21,18 +25,35 @@ def banded_pairs(hashes: DataFrame, id_col: str, hash_col: str, max_bits: int, m
         rows = rows.groupBy("h").agg(F.min("id").alias("id"))
     elif mode != "pivot":
         raise ValueError(f"unknown mode {mode!r}")
-    filed = rows.select("id", "h", F.explode(bands(F.col("h"))).alias("b")).select("id", "h", "b.band", "b.key")
+    filed = rows.select("id", "h", F.explode(bands(F.col("h"))).alias("b")).select("id", "h", (F.col("b.band") * (1 << BAND_BITS) + F.col("b.key")).alias("key"))
     if mode == "pivot":
-        pivot = filed.groupBy("band", "key").agg(F.min(F.struct("id", "h")).alias("p"), F.count("*").alias("n")).where("n > 1")
-        met = filed.join(pivot, ["band", "key"]).select(F.col("p.id").alias("id_a"), F.col("p.h").alias("h_a"), F.col("id").alias("id_b"), F.col("h").alias("h_b"))
+        pivot = filed.groupBy("key").agg(F.min(F.struct("id", "h")).alias("p"), F.count("*").alias("n")).where("n > 1")
+        met = join_counted(filed, pivot, "key", "n", 4 * rows.count())
+        met = met.select(F.col("p.id").alias("id_a"), F.col("p.h").alias("h_a"), F.col("id").alias("id_b"), F.col("h").alias("h_b"))
     else:
-        left = filed.select("band", "key", F.col("id").alias("id_a"), F.col("h").alias("h_a"))
-        right = filed.select("band", "key", F.col("id").alias("id_b"), F.col("h").alias("h_b"))
-        met = left.join(right, ["band", "key"])
+        filed = _finer(filed, max_bits)
+        left = filed.select("key", "part", F.col("id").alias("id_a"), F.col("h").alias("h_a"))
+        right = filed.select("key", "part", F.col("id").alias("id_b"), F.col("h").alias("h_b"))
+        met = left.join(right, ["key", "part"])
     near = met.where("id_a < id_b").withColumn("bits", hamming(F.col("h_a"), F.col("h_b"))).where(F.col("bits") <= max_bits)
     return near.select("id_a", "id_b", "bits").distinct()
 
 
+def _finer(filed: DataFrame, max_bits: int) -> DataFrame:
+    """``id, h, key, part``: rows of a hot bucket are filed under each of ``max_bits`` + 1 parts of their other 48 bits, one of which any near pair shares."""
+    hot = filed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("key", F.lit(True).alias("hot"))
+    marked = filed.join(F.broadcast(hot), "key", "left")
+    band = F.shiftright("key", BAND_BITS).cast("int")
+    low = F.col("h").bitwiseAND(F.expr("shiftleft(1L, cast(16 * shiftright(key, 16) as int)) - 1"))
+    rest = F.when(band == 3, F.col("h").bitwiseAND((1 << 48) - 1)).otherwise(
+        F.expr("shiftleft(shiftrightunsigned(h, cast(16 * (shiftright(key, 16) + 1) as int)), cast(16 * shiftright(key, 16) as int))").bitwiseOR(low)
+    )
+    parts = min(48, max_bits + 1)
+    cuts = [48 * i // parts for i in range(parts + 1)]
+    keys = [F.shiftrightunsigned(rest, a).bitwiseAND((1 << (b - a)) - 1) * parts + i for i, (a, b) in enumerate(zip(cuts, cuts[1:]))]
+    return marked.withColumn("part", F.explode(F.when(F.col("hot"), F.array(*keys)).otherwise(F.array(F.lit(-1).cast("bigint"))))).drop("hot")
+
+
 def whole_pairs(hashes: DataFrame, id_col: str, hash_col: str, max_bits: int) -> DataFrame:
     """``id_a, id_b, bits`` of all distinct hashes, each under its smallest id, that differ in at most ``max_bits`` bits; none is missed.
 
@@ -58,6 +79,12 @@ def whole_pairs(hashes: DataFrame, id_col: str, hash_col: str, max_bits: int) ->
     return near.select(F.least("id", "x").alias("id_a"), F.greatest("id", "x").alias("id_b"), "bits").distinct()
 
 
+def no_pairs(hashes: DataFrame, id_col: str) -> DataFrame:
+    """An empty table of pairs, for classes without their links."""
+    kind = hashes.schema[id_col].dataType.simpleString()
+    return hashes.sparkSession.createDataFrame([], f"id_a {kind}, id_b {kind}, bits int")
+
+
 def class_members(hashes: DataFrame, pairs: DataFrame, id_col: str, hash_col: str) -> DataFrame:
     """``item_id, rep, links``: each item with the one compared for all of its hash, and the number of near hashes in ``pairs`` of such representatives."""
     rows = hashes.where(F.col(hash_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("item_id"), F.col(hash_col).alias("h")).distinct()

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.display import method_rank, score
 from ..functions.paths import file_name, format_score, group_name
+from ..plans.scratch import materialize
 from .graph import connected_components
 
 EVIDENCE = ["path1", "channel1", "path2", "channel2", "method", "distance"]
@@ -73,7 +74,7 @@ def star_groups(files: DataFrame, pairs: DataFrame, exact: DataFrame | None = No
     Components of which fewer than two nodes are known, and leaders without a tie, have no group.
     """
     of = connected_components(pairs, "node_a", "node_b")
-    known = of.join(files.withColumn("node", node_key(F.col("path"), F.col("channel"))), "node")
+    known = materialize(of.join(files.withColumn("node", node_key(F.col("path"), F.col("channel"))), "node"), "known")
     lead = leaders(known)
     size = known.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component")
     lead = lead.join(size, "component")
@@ -109,8 +110,6 @@ def result_rows(groups: DataFrame, files: DataFrame) -> DataFrame:
 def number_groups(keys: DataFrame, key: str) -> DataFrame:
     """``key, group_id`` with ids from 1 in key order: a range sort, then offsets of its partitions."""
     placed = keys.orderBy(key).withColumn("part", F.spark_partition_id()).withColumn("row", F.monotonically_increasing_id())
-    from ..plans.scratch import materialize
-
     placed = materialize(placed, "ordered")
     counts = placed.groupBy("part").agg(F.count("*").alias("n"), F.min("row").alias("first"))  # one row a partition
     before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.scratch import discard, materialize
+from ..plans.skew import lookup
 
 #: edges up to which one task runs a union-find; a bound of some tens of megabytes
 ONE_TASK = 500_000
+HOT = 1_000_000
 
 
 def union_find(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
@@ -54,21 +56,23 @@ def connected_components(edges: DataFrame, a: str = "src", b: str = "dst") -> Da
 
     Up to ``ONE_TASK`` distinct edges one task suffices. Beyond, each round takes
     the smallest label among a node and its neighbours, then the label of that
-    label, so chains halve; a round's table cuts the lineage. Null ends tie
+    label, so chains halve; a round's table cuts the lineage. Hubs and the labels of giant
+    components are hot keys of these joins and are looked up where their rows are. Null ends tie
     nothing; a loop keeps its node as a component of its own.
     """
     ok = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).alias("x"), F.col(b).alias("y"))
     once = materialize(ok.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "edges")
-    if once.count() <= ONE_TASK:
+    n = once.count()
+    if n <= ONE_TASK:
         return materialize(_in_one_task(once), "labels")
     both = materialize(once.union(once.where("x <> y").select("y", "x")), "edges")
     labels = materialize(both.groupBy("x").agg(F.least(F.col("x"), F.min("y")).alias("l")), "labels")
     while True:
-        near = both.join(labels.select(F.col("x").alias("y"), F.col("l").alias("ly")), "y").groupBy("x").agg(F.min("ly").alias("m"))
+        near = lookup(both, "y", labels.select(F.col("x").alias("y"), F.col("l").alias("ly")), "ly", 2 * n, HOT).groupBy("x").agg(F.min("ly").alias("m"))
         step = labels.join(near, "x").select("x", F.least("l", "m").alias("l"), F.col("l").alias("old"))
         step = materialize(step, "labels")
         jump = step.select(F.col("x").alias("l"), F.col("l").alias("ll"))
-        new = materialize(step.join(jump, "l", "left").select("x", F.coalesce("ll", "l").alias("l"), "old"), "labels")
+        new = materialize(lookup(step, "l", jump, "ll", 2 * n, HOT).select("x", F.coalesce("ll", "l").alias("l"), "old"), "labels")
         moved = new.where("l <> old").limit(1).count()
         discard(step)
         labels = new.select("x", "l")

@@ -82,8 +82,14 @@ def remove_paths(results: DataFrame, gone: DataFrame, least: int = 2) -> DataFra
     return ordered.withColumn("is_best", F.col("position") == 1).drop("position", "_n")
 
 
-def report_pages(results: DataFrame, per_group: int = 200, per_page: int = 50) -> DataFrame:
-    """``group_id, page, place, path``: the best and then the duplicates by score, at most ``per_group`` of a group, ``per_page`` on a page."""
+def report_pages(results: DataFrame, per_group: int = 200, per_page: int = 50, max_visuals: int | None = None) -> DataFrame:
+    """``group_id, page, place, path``: the best and then the duplicates by score, at most ``per_group`` of a group, ``per_page`` on a page.
+
+    With ``max_visuals`` only the pages of that many groups, the largest in bytes first.
+    """
+    if max_visuals is not None:
+        size = results.groupBy("group_id").agg(F.sum(F.coalesce("file_size", F.lit(0))).alias("size"))
+        results = results.join(size.orderBy(F.col("size").desc(), "group_id").limit(max_visuals).select("group_id"), "group_id", "left_semi")
     return (
         child_order(results).where(F.col("position") <= per_group)
         .select("group_id", F.floor((F.col("position") - 1) / per_page).cast("int").alias("page"), ((F.col("position") - 1) % per_page).alias("place"), "path")

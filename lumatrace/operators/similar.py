@@ -52,10 +52,14 @@ def knn_exact(vectors: DataFrame, k: int = LINK_NEIGHBOURS, id_col: str = "vec_i
     """``id, other, distance, rank``: the k nearest of each row, itself included, by matrix products of blocks; of these the ones up to ``max_distance``.
 
     Rows are hashed into blocks and every pair of blocks is one task, so this is
-    the exact path for tables below ``INDEX_THRESHOLD``; above, use :func:`probe`. Zero and null vectors take no part.
+    the exact path for tables up to ``INDEX_THRESHOLD`` and refuses larger ones; :func:`neighbours`
+    goes over to :func:`probe` there. Zero and null vectors take no part.
     """
     usable = vectors.where(F.col(vec_col).isNotNull() & F.exists(vec_col, lambda x: x != 0)).select(F.col(id_col).alias("id"), F.col(vec_col).alias("v"))
-    blocks = max(1, -(-usable.count() // per_block))
+    n = usable.count()
+    if n > INDEX_THRESHOLD:
+        raise ValueError(f"{n} vectors are too many to compare all with each other; use neighbours() or probe()")
+    blocks = max(1, -(-n // per_block))
     at = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     left = usable.withColumn("x", at).withColumn("y", other)
@@ -65,6 +69,14 @@ def knn_exact(vectors: DataFrame, k: int = LINK_NEIGHBOURS, id_col: str = "vec_i
     return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def neighbours(vectors: DataFrame, k: int = LINK_NEIGHBOURS, precision: str = "balanced", id_col: str = "vec_id", vec_col: str = "embedding", max_distance: float = np.inf) -> DataFrame:
+    """``id, other, distance, rank``: exact below ``INDEX_THRESHOLD`` rows, by cells above, as many of them searched as the precision says."""
+    n = vectors.count()
+    if n < INDEX_THRESHOLD:
+        return knn_exact(vectors, k, id_col, vec_col, max_distance=max_distance)
+    return probe(vectors, fit_cells(vectors, partitions_for(n), vec_col), k, PRESETS[precision][0], id_col, vec_col, max_distance)
+
+
 def link_pairs(near: DataFrame, max_distance: float) -> DataFrame:
     """``id_a, id_b, distance``: neighbours at most ``max_distance`` apart, each unordered pair once."""
     kept = near.where((F.col("distance") <= max_distance) & (F.col("id") != F.col("other")))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import json
+import os
+from dataclasses import asdict, dataclass, field
 
 from ..operators.similar import PRESETS
 
@@ -68,6 +70,19 @@ def migrate(settings: dict) -> dict:
     return {k: tuple(v) if isinstance(v, list) else v for k, v in renamed.items() if k in names}
 
 
+def save(config: ScanConfig, path: str) -> None:
+    """Settings as JSON, written whole or not at all."""
+    with open(f"{path}.part", "w", encoding="utf-8") as f:
+        json.dump(asdict(config), f, indent=1)
+    os.replace(f"{path}.part", path)
+
+
+def load(path: str) -> ScanConfig:
+    """Settings of a file, older ones migrated; what it lacks has its default."""
+    with open(path, encoding="utf-8") as f:
+        return ScanConfig(**{"folder": "", **migrate(json.load(f))})
+
+
 def plan(config: ScanConfig) -> list[tuple[str, float]]:
     """Stages in order, each with its share of the whole; evidence counts in this order."""
     c = config.validate()

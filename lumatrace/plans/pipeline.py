@@ -41,8 +41,8 @@ def duplicate_scan(config: ScanConfig, files: DataFrame, hashes: DataFrame | Non
     """
     c = config.validate()
     producers = []
+    files = materialize(with_composites(files) if c.find_exact else files, "files")
     if c.find_exact:
-        files = with_composites(files)
         e = exact.exact_edges(files.select("path", "hash").distinct())
         null = F.lit(None).cast("string")
         producers.append(e.select("path1", null.alias("channel1"), "path2", null.alias("channel2"), F.lit("xxHash").alias("method"), F.lit(0.0).alias("distance")))
@@ -51,7 +51,7 @@ def duplicate_scan(config: ScanConfig, files: DataFrame, hashes: DataFrame | Non
             if on:
                 producers.append(perceptual_evidence(hashes, method, column, bits))
     if links is not None and c.use_ai:
-        producers.append(links.where(F.col("distance") <= round(1 - c.similarity / 100, 6)))
+        producers.append(links.where(F.col("distance") <= vec.threshold_distance(c.similarity)))
     pairs = materialize(clusters.merge_evidence(clusters.union_evidence(*producers)), "pairs")
     keys = F.array(*(clusters.node_key(F.col("path"), x) for x in (F.col("channel"), F.lit(None).cast("string"))))  # the hash is the file's, so the composite has it too
     twins = files.where(F.col("hash").isNotNull()).select(F.explode(keys).alias("node"), "hash").distinct()
@@ -66,15 +66,10 @@ def vector_links(config: ScanConfig, vectors: DataFrame, dim: int) -> DataFrame:
     each searches as many cells as the precision says, and distances there are exact.
     """
     c = config.validate()
-    most = round(1 - c.similarity / 100, 6)
+    most = vec.threshold_distance(c.similarity)
     rows = vectors.where(F.col("item_id").isNotNull() & F.col("path").isNotNull() & vec.usable(F.col("vector"), dim))
     one = materialize(rows.groupBy("item_id").agg(F.min(F.struct("path", "channel", "vector")).alias("r")).select("item_id", "r.*"), "vectors")
-    n = one.count()
-    if n < similar.INDEX_THRESHOLD:
-        near = similar.knn_exact(one, similar.LINK_NEIGHBOURS, "item_id", "vector", max_distance=most)
-    else:
-        cells = similar.fit_cells(one, similar.partitions_for(n), "vector")
-        near = similar.probe(one, cells, similar.LINK_NEIGHBOURS, similar.PRESETS[c.precision][0], "item_id", "vector", most)
+    near = similar.neighbours(one, similar.LINK_NEIGHBOURS, c.precision, "item_id", "vector", most)
     end = lambda i, x: one.select(F.col("item_id").alias(x), F.col("path").alias(f"path{i}"), F.col("channel").alias(f"channel{i}"))
     pairs = similar.link_pairs(near, most).join(end(1, "id_a"), "id_a").join(end(2, "id_b"), "id_b")
     return pairs.select("path1", "channel1", "path2", "channel2", F.lit("AI").alias("method"), "distance")
@@ -83,5 +78,5 @@ def vector_links(config: ScanConfig, vectors: DataFrame, dim: int) -> DataFrame:
 def search(config: ScanConfig, vectors: DataFrame, query: list[float], query_row: DataFrame, id_col: str = "path", vec_col: str = "vector") -> DataFrame:
     """Result rows of a text or sample search: the query and what lies below the distance threshold among its nearest."""
     c = config.validate()
-    hits = similar.vector_search(vectors, query, round(1 - c.similarity / 100, 6), similar.SEARCH_TOP, id_col, vec_col)
+    hits = similar.vector_search(vectors, query, vec.threshold_distance(c.similarity), similar.SEARCH_TOP, id_col, vec_col)
     return clusters.search_group(query_row, hits.select(F.col(id_col).alias("path"), "distance"))

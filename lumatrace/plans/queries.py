@@ -19,7 +19,7 @@ from ..sources import files as src
 from ..sources.tables import with_defaults
 from ..streaming.discovery import arrivals as arrivals_by_window
 from .config import ScanConfig
-from .pipeline import duplicate_scan, vector_links
+from .pipeline import duplicate_scan, search, vector_links
 from .scratch import materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -265,13 +265,25 @@ def hamming_pairs(spark: SparkSession, d: str) -> DataFrame:
     return bands.banded_pairs(read(spark, d, "hashes"), "item_id", "phash", 3, mode="all_pairs")
 
 
-@query()
+@query("SELECT DISTINCT item_id, min(item_id) OVER (PARTITION BY phash) AS rep FROM hashes WHERE phash IS NOT NULL AND item_id IS NOT NULL")
+def hamming_members(spark: SparkSession, d: str) -> DataFrame:
+    """Whom the ends of :func:`hamming_pairs` stand for."""
+    h = read(spark, d, "hashes")
+    return bands.class_members(h, bands.no_pairs(h, "item_id"), "item_id", "phash").select("item_id", "rep")
+
+
+WHOLE = """
+    WITH r AS (SELECT DISTINCT item_id, phash AS h FROM hashes WHERE phash IS NOT NULL AND item_id IS NOT NULL), p AS (SELECT h, min(item_id) AS rep FROM r GROUP BY h)"""
+
+
+@query(f"{WHOLE} SELECT a.rep AS id_a, b.rep AS id_b, bit_count(xor(a.h, b.h))::INT AS bits FROM p a JOIN p b ON a.rep < b.rep AND bit_count(xor(a.h, b.h)) <= 8")
 def hamming_pairs_whole(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of representatives at the configured threshold; :func:`hamming_classes` has whom they stand for."""
     return bands.whole_pairs(read(spark, d, "hashes"), "item_id", "phash", ScanConfig("/").phash_bits)
 
 
-@query()
+@query(f"""{WHOLE}, n AS (SELECT a.rep, count(*) AS links FROM p a JOIN p b ON a.rep <> b.rep AND bit_count(xor(a.h, b.h)) <= 8 GROUP BY a.rep)
+    SELECT item_id, rep, coalesce(links, 0) AS links FROM r JOIN p USING (h) LEFT JOIN n USING (rep)""")
 def hamming_classes(spark: SparkSession, d: str) -> DataFrame:
     return bands.class_members(read(spark, d, "hashes"), materialize(hamming_pairs_whole(spark, d), "pairs"), "item_id", "phash")
 
@@ -284,11 +296,43 @@ def banded_pivot_pairs(spark: SparkSession, d: str) -> DataFrame:
     return bands.banded_pairs(read(spark, d, "hashes"), "item_id", "dhash", 8)
 
 
-@query()
+XX = "CASE WHEN regexp_full_match(lower(trim(xxhash)), '(0x)?[0-9a-f]{1,16}') THEN lpad(regexp_replace(lower(trim(xxhash)), '^0x', ''), 16, '0') END"
+
+
+def _pivots(column: str, method: str) -> str:
+    return f"""{column}_f AS (SELECT node AS id, {column} AS h, b, ({column} >> (16 * b)) & 65535 AS k FROM nodes, (SELECT unnest([0, 1, 2, 3]) AS b) WHERE {column} IS NOT NULL),
+    {column}_p AS (SELECT b, k, min((id, h)) AS p FROM {column}_f GROUP BY b, k),
+    {column}_e AS (SELECT DISTINCT p[1] AS a, id AS z, '{method}' AS method, 0.0::DOUBLE AS distance FROM {column}_f JOIN {column}_p USING (b, k) WHERE p[1] < id AND bit_count(xor(p[2], h))::INT <= 8)"""
+
+
+@query(f"""
+    WITH RECURSIVE h AS (SELECT path, CASE WHEN analysis_type IN ('R', 'G', 'B', 'A') THEN analysis_type END AS channel, {XX} AS hash, dhash, phash FROM hashes WHERE item_id IS NOT NULL AND path IS NOT NULL),
+    nodes AS (SELECT path, channel, path || '|' || coalesce(channel, '') AS node, max(hash) AS hash, max(dhash) AS dhash, max(phash) AS phash FROM h GROUP BY path, channel),
+    prints AS (SELECT * FROM fingerprints WHERE item_id IS NOT NULL AND path IS NOT NULL),
+    meta AS (SELECT path, max((resolution_w::BIGINT * resolution_h, resolution_w, resolution_h)) FILTER (resolution_w > 0 AND resolution_h > 0) AS s, max(file_size) FILTER (file_size > 0) AS file_size, max(capture_date) AS capture_date, max(format_str) AS format_str FROM prints GROUP BY path),
+    every AS (SELECT path, channel, node, hash FROM nodes UNION ALL SELECT path, NULL, path || '|', arg_min(hash, channel) FILTER (hash IS NOT NULL) FROM nodes GROUP BY path HAVING NOT bool_or(channel IS NULL) AND count(hash) > 0),
+    files AS (SELECT e.*, s[2] AS resolution_w, s[3] AS resolution_h, file_size, capture_date, coalesce(format_str, upper(regexp_extract(path, '\\.([^.]+)$', 1))) AS format_str FROM every e LEFT JOIN meta USING (path)),
+    same AS (SELECT DISTINCT path, min(path) OVER (PARTITION BY hash) AS rep FROM files WHERE hash IS NOT NULL),
+    {_pivots('dhash', 'dHash')}, {_pivots('phash', 'pHash')},
+    v AS (SELECT item_id, path || '|' || coalesce(CASE WHEN channel NOT IN ('RGB', 'Composite', 'Luminance') THEN channel END, '') AS node, vector::DOUBLE[] AS v FROM prints
+       WHERE len(vector) = 96 AND list_bool_and(list_transform(vector, lambda x: coalesce(isfinite(x), false))) AND list_bool_or(list_transform(vector, lambda x: x <> 0))
+       QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY path, channel NULLS FIRST, vector) = 1),
+    near AS (SELECT a.item_id AS x, b.item_id AS y, a.node AS a, b.node AS z, round(1 - list_cosine_similarity(a.v, b.v), 6) AS distance FROM v a, v b QUALIFY row_number() OVER (PARTITION BY a.item_id ORDER BY distance, b.item_id) <= 50),
+    evidence AS (SELECT rep || '|' AS a, path || '|' AS z, 'xxHash' AS method, 0.0::DOUBLE AS distance FROM same UNION ALL FROM dhash_e UNION ALL FROM phash_e UNION ALL SELECT a, z, 'AI', distance FROM near WHERE x <> y AND distance <= 0.05),
+    pairs AS (SELECT least(a, z) AS node_a, greatest(a, z) AS node_b, min((CASE method WHEN 'xxHash' THEN 1 WHEN 'dHash' THEN 2 WHEN 'pHash' THEN 3 ELSE 5 END, distance, method)) AS e FROM evidence WHERE a <> z GROUP BY 1, 2),
+    tie AS (SELECT node_a AS x, node_b AS y FROM pairs UNION SELECT node_b, node_a FROM pairs),
+    label(node, l) USING KEY (node) AS (SELECT x, least(x, min(y)) FROM tie GROUP BY x UNION SELECT t.y, min(r.l) FROM label r JOIN tie t ON r.node = t.x JOIN recurring.label o ON o.node = t.y WHERE r.l < o.l GROUP BY t.y),
+    known AS (SELECT f.*, l AS component, first_value(node) OVER (PARTITION BY l ORDER BY {LEADER}) AS leader, count(*) OVER (PARTITION BY l) AS n FROM files f JOIN label USING (node)),
+    tied AS (SELECT k.component, k.leader, k.node, p.e FROM known k JOIN pairs p ON p.node_a = least(k.node, k.leader) AND p.node_b = greatest(k.node, k.leader) WHERE n > 1
+       UNION ALL SELECT k.component, k.leader, k.node, (1, 0.0::DOUBLE, 'xxHash') FROM known k JOIN files f ON f.node = k.leader WHERE k.node <> k.leader AND n > 1 AND f.hash = k.hash),
+    best AS (SELECT component, leader, node, min(e) AS e FROM tied GROUP BY ALL),
+    out AS (SELECT leader, node, false AS is_best, e[3] AS found_by, CASE WHEN e[3] = 'AI' THEN floor(round(greatest(0, 1 - e[2]) * 100, 6)) ELSE 100 END::INT AS distance FROM best UNION ALL SELECT DISTINCT leader, leader, true, 'Best', 0 FROM best)
+    SELECT path, channel, dense_rank() OVER (ORDER BY leader) AS group_id, is_best, distance, found_by FROM out JOIN files USING (node)""")
 def duplicate_scan_full(spark: SparkSession, d: str) -> DataFrame:
     h = read(spark, d, "hashes").where("item_id IS NOT NULL AND path IS NOT NULL")
     chan = F.when(F.col("analysis_type").isin("R", "G", "B", "A"), F.col("analysis_type"))
     nodes = h.groupBy("path", chan.alias("channel")).agg(F.max(hashing.content_number(F.col("xxhash"))).alias("hash"), *(F.max(c).alias(c) for c in ("dhash", "phash", "whash")))
+    nodes = materialize(nodes, "nodes")
     prints = read(spark, d, "fingerprints").where("item_id IS NOT NULL AND path IS NOT NULL")
     whole = nodes.join(_print_metadata(prints), "path", "left").withColumn("format_str", F.coalesce("format_str", F.upper(F.regexp_extract("path", r"\.([^.]+)$", 1))))
     config = ScanConfig("/", use_ai=True)
@@ -355,6 +399,33 @@ def sample_search_whole(spark: SparkSession, d: str) -> DataFrame:
     return clusters.search_group(spark.createDataFrame([("Query: sample",)], "path string"), hits)
 
 
+USABLE = "len(vector) = 96 AND list_bool_and(list_transform(vector, lambda x: coalesce(isfinite(x), false))) AND list_bool_or(list_transform(vector, lambda x: x <> 0))"
+
+
+@query(f"""
+    WITH v AS (SELECT item_id, path, channel, vector::DOUBLE[] AS v FROM fingerprints WHERE item_id IS NOT NULL AND path IS NOT NULL AND {USABLE}
+        QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY path, channel NULLS FIRST, vector) = 1),
+    n AS (SELECT least(a.item_id, b.item_id) AS x, greatest(a.item_id, b.item_id) AS y, a.item_id <> b.item_id AS other, {COS} AS distance FROM v a, v b QUALIFY row_number() OVER (PARTITION BY a.item_id ORDER BY distance, b.item_id) <= 50),
+    p AS (SELECT x, y, min(distance) AS distance FROM n WHERE other AND distance <= 0.05 GROUP BY x, y)
+    SELECT a.path AS path1, a.channel AS channel1, b.path AS path2, b.channel AS channel2, 'AI' AS method, distance FROM p JOIN v a ON a.item_id = x JOIN v b ON b.item_id = y""")
+def ai_links(spark: SparkSession, d: str) -> DataFrame:
+    """Evidence of vectors at the default similarity of 95 percent."""
+    return vector_links(ScanConfig("/"), read(spark, d, "fingerprints"), 96)
+
+
+@query(f"""
+    WITH u AS (SELECT path, vector::DOUBLE[] AS v FROM fingerprints WHERE {USABLE}), q AS (SELECT v FROM u ORDER BY path LIMIT 1),
+    t AS (SELECT path, round(1 - list_cosine_similarity(u.v, q.v), 6) AS distance FROM u, q ORDER BY distance, path LIMIT {similar.SEARCH_TOP})
+    SELECT 'Query: moss' AS path, 1::BIGINT AS group_id, true AS is_best, 0 AS distance, 'Query' AS found_by
+    UNION ALL SELECT path, 1, false, floor(round(greatest(0, 1 - distance) * 100, 6))::INT, 'AI' FROM t WHERE distance < 0.3""")
+def text_search_group(spark: SparkSession, d: str) -> DataFrame:
+    """A search at 70 percent by the vector that a model would give for the words; here that of the first path."""
+    good = read(spark, d, "fingerprints").where(vec.usable(F.col("vector"), 96))
+    asked = list(good.orderBy("path").select("vector").first()[0])
+    config = ScanConfig("/", mode="text_search", query="moss", similarity=70.0)
+    return search(config, good, asked, spark.createDataFrame([("Query: moss",)], "path string"))
+
+
 @query()
 def ivf_probe(spark: SparkSession, d: str) -> DataFrame:
     e = read(spark, d, "embeddings")

@@ -20,3 +20,14 @@ def join_counted(rows: DataFrame, keyed: DataFrame, key: str, count: str, total:
     few = rows.join(hot.drop(count), key)
     rest = rows.join(hot.select(key), key, "left_anti").join(keyed.where(F.col(count) <= limit).drop(count), key)
     return few.unionByName(rest)
+
+
+def lookup(rows: DataFrame, key: str, table: DataFrame, value: str, total: int, hot: int = 1_000_000) -> DataFrame:
+    """``rows`` with ``value``: that of ``table``, which has one row a ``key``, or null where it has none.
+
+    A key met by over ``hot`` rows is not shuffled; ``total`` bounds the number of rows.
+    """
+    if total <= hot:
+        return rows.join(table, key, "left")
+    of = rows.groupBy(key).agg(F.count("*").alias("_n")).join(table, key, "left").select(key, value, "_n")
+    return join_counted(rows, of, key, "_n", total, hot)

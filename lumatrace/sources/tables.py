@@ -16,6 +16,7 @@ HASHES = T.StructType([T.StructField("path", T.StringType()), T.StructField("ana
 RESULTS = T.StructType(
     [*(T.StructField(n, t) for n, t in _META), T.StructField("group_id", T.LongType()), T.StructField("is_best", T.BooleanType()), T.StructField("distance", T.IntegerType()), T.StructField("found_by", T.StringType())]
 )
+#: What readers expect where metadata is absent.
 DEFAULTS = {"resolution_w": 0, "resolution_h": 0, "file_size": 0, "mtime": 0.0, "format_str": "Unknown", "format_details": "", "has_alpha": False, "bit_depth": 8, "mipmap_count": 1, "texture_type": "2D", "color_space": "sRGB"}
 
 
@@ -52,3 +53,16 @@ def key_lookup(table: DataFrame, key: str) -> DataFrame:
 
 def key_put(table: DataFrame, rows: DataFrame) -> DataFrame:
     return table.join(rows.select("key").distinct(), "key", "left_anti").unionByName(rows.dropDuplicates(["key"]))
+
+
+def clear_store(spark: SparkSession, folder: str, keep: str | None = None) -> list[str]:
+    """Remove the stores below a folder but the one named ``keep``, as after a change of model; the removed names."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    root = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = root.getFileSystem(conf)
+    if not fs.exists(root):
+        return []
+    gone = sorted(s.getPath().getName() for s in fs.listStatus(root) if s.isDirectory() and s.getPath().getName() != keep)
+    for name in gone:
+        fs.delete(jvm.org.apache.hadoop.fs.Path(root, name), True)
+    return gone

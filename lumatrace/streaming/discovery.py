@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.paths import EXTENSIONS
 from ..operators.incremental import upsert
+from ..plans.scratch import remove
 from ..sources.files import FILE_SCHEMA, not_excluded, supported
 
 
@@ -25,19 +26,16 @@ def stream_files(spark: SparkSession, root: str, excluded: Sequence[str] = (), e
 def upsert_stream(rows: DataFrame, table: str, checkpoint: str, keys: tuple[str, ...] = ("path", "channel")) -> StreamingQuery:
     """Merge each micro-batch into a Parquet table that has versions in numbered folders, and stop when all input is read.
 
-    A batch that is retried writes the same version again, so results stay exact.
+    A batch that is retried writes the same version again, so results stay exact. The version it starts from
+    is kept for that; older ones are removed.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         before = f"{table}/v{number - 1}"
-        try:
-            old = spark.read.schema(batch.schema).parquet(before)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            old = spark.createDataFrame([], batch.schema)
+        old = spark.read.schema(batch.schema).parquet(before) if number else spark.createDataFrame([], batch.schema)
         upsert(old, batch, keys).write.mode("overwrite").parquet(f"{table}/v{number}")
+        remove(spark, f"{table}/v{number - 2}")
 
     return rows.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
