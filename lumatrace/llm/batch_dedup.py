@@ -97,15 +97,15 @@ def matchable() -> Column:
     return F.col("kind").isNotNull() & (F.col("xx").isNotNull() | (F.col("phash").isNotNull() & F.col("dhash").isNotNull()))
 
 
-def classes(one_each: DataFrame) -> DataFrame:
-    """Items of equal type and hashes as one row with the first of them.
+def classes(one_each: DataFrame, *within: str) -> DataFrame:
+    """Items of equal type and hashes (and of equal ``within``) as one row with the first of them.
 
     All later copies share the first one's fate or are refused because of it, so
     only the first has to be compared. Items that nothing can match are left out.
     """
     return (
         one_each.where(matchable())
-        .groupBy("kind", "xx", "phash", "dhash")
+        .groupBy("kind", "xx", "phash", "dhash", *(F.col(c).alias(f"by_{c}") for c in within))
         .agg(F.min(F.struct("batch_no", "item_id")).alias("first"))
         .select("kind", "xx", "phash", "dhash", "first.batch_no", "first.item_id")
     )
@@ -203,8 +203,14 @@ def _hold(stored: pa.Table, probes: pa.Table) -> pa.Table:
     )
 
 
-def _settle(fresh: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """Ids of the class firsts that are accepted, and of those that are not decided yet (None: all are).
+def _without(df: DataFrame, gone: DataFrame, *ends: str) -> DataFrame:
+    for end in ends:
+        df = df.join(gone.withColumnRenamed("item_id", end), end, "left_anti")
+    return df
+
+
+def _settle(links: DataFrame) -> tuple[list[DataFrame], DataFrame | None]:
+    """Ids of the class firsts that are refused, in several tables, and of those that are not decided yet (None: all are).
 
     A round accepts what has no earlier partner left and refuses the later partners of
     what it accepted. An item with ``more`` partners than were named is never accepted here.
@@ -212,39 +218,29 @@ def _settle(fresh: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame |
     one = lambda df, c: df.select(F.col(c).alias("item_id"))
     seen = links.agg(F.count("earlier").alias("pairs"), F.count_if("more").alias("more")).first()
     old = one(links.where("earlier IS NULL AND NOT more"), "later").distinct()
-    alive = fresh.join(old, "item_id", "left_anti")
+    refused = [old]
     if not seen.pairs:  # an item with more partners than were named has some that were
-        return alive, None
-
-    def without(df: DataFrame, gone: DataFrame, *ends: str) -> DataFrame:
-        for end in ends:
-            df = df.join(gone.withColumnRenamed("item_id", end), end, "left_anti")
-        return df
-
-    pair = materialize(without(links.where("earlier IS NOT NULL"), old, "later", "earlier").select("later", "earlier"), "links")
-    more = materialize(one(without(links.where("more"), old, "later"), "later").distinct(), "more") if seen.more else None
+        return refused, None
+    pair = materialize(_without(links.where("earlier IS NOT NULL"), old, "later", "earlier").select("later", "earlier").distinct(), "links")
+    more = materialize(one(_without(links.where("more"), old, "later"), "later").distinct(), "more") if seen.more else None
     undecided = one(pair, "later").union(one(pair, "earlier")).distinct()
-    accepted = [alive.join(undecided, "item_id", "left_anti")]
     for _ in range(ROUNDS):
         free = undecided.join(one(pair, "later"), "item_id", "left_anti")
         if more is not None:
             free = free.join(more, "item_id", "left_anti")
         beaten = one(pair.join(free.withColumnRenamed("item_id", "earlier"), "earlier", "left_semi"), "later").distinct()
         done = materialize(free.withColumn("ok", F.lit(True)).union(beaten.withColumn("ok", F.lit(False))), "settled")
-        accepted.append(done.where("ok").select("item_id"))
+        refused.append(done.where("NOT ok").select("item_id"))
         ids = done.select("item_id")
         undecided = undecided.join(ids, "item_id", "left_anti")
-        pair = materialize(without(pair, ids, "later", "earlier"), "links")
-        linked = bool(pair.take(1))
-        if not linked:
+        pair = _without(pair, ids, "later", "earlier")
+        if not pair.take(1):
+            if more is None:  # what only lost its partners in the last round is free
+                return refused, None
             break
-    out = accepted[0]
-    for a in accepted[1:]:
-        out = out.union(a)
-    if more is None and not linked:  # what only lost its partners in the last round is free
-        return out.union(undecided), None
+        pair = materialize(pair, "links")
     rest = materialize(undecided, "undecided")
-    return out, rest if rest.take(1) else None
+    return refused, rest if rest.take(1) else None
 
 
 class SegmentIndex:
@@ -332,7 +328,11 @@ class SegmentIndex:
         Items are taken in the order of batch and id. A delivery of over SLICE items is taken in slices of that order.
         """
         rows = materialize(classes(delivery), "classes")
-        n, slices = rows.count(), [rows]
+        return _refused(delivery, rows, self.take_classes(rows, rows.count()))
+
+    def take_classes(self, rows: DataFrame, n: int) -> list[DataFrame]:
+        """Ids of the refused ones of ``n`` class firsts (a written table), in several tables."""
+        slices = [rows]
         if n > SLICE:  # the bounded sample only places the cuts
             parts = -(-n // SLICE)
             some = sorted((r.batch_no, r.item_id) for r in rows.select("batch_no", "item_id").sample(min(1.0, 50_000 / n), 1).limit(100_000).collect())
@@ -340,27 +340,15 @@ class SegmentIndex:
             cuts = sorted({some[i * len(some) // parts] for i in range(1, parts)}) if some else []
             place = sum(((turn >= F.struct(F.lit(b).cast("int").alias("b"), F.lit(i).cast("bigint").alias("i"))).cast("int") for b, i in cuts), F.lit(0))
             slices = [rows.where(place == k) for k in range(len(cuts) + 1)]
-        accepted = [self._take(s, min(n, SLICE)) for s in slices]
-        kept = accepted[0]
-        for a in accepted[1:]:
-            kept = kept.union(a)
-        return delivery.where(matchable()).select("item_id").join(kept, "item_id", "left_anti")
-
-    def _take(self, rows: DataFrame, n: int) -> DataFrame:
-        """Ids of the accepted firsts of a slice of about ``n`` rows, which the index has afterwards."""
-        out, todo = [], rows
-        while True:
-            accepted, rest = _settle(todo.select("item_id"), materialize(self.held(todo, n), "matches"))
-            kept = materialize(todo.join(accepted, "item_id", "left_semi"), "accepted")
-            out.append(kept.select("item_id"))
-            self._append(kept, n)
-            if rest is None:
-                break
-            todo = materialize(todo.join(rest, "item_id", "left_semi"), "undecided")
-        kept = out[0]
-        for more in out[1:]:
-            kept = kept.union(more)
-        return kept
+        out: list[DataFrame] = []
+        for todo in slices:
+            while todo is not None:
+                refused, rest = _settle(materialize(self.held(todo, min(n, SLICE)), "matches"))
+                gone = _union(refused if rest is None else [*refused, rest])
+                self._append(todo.join(gone, "item_id", "left_anti"), min(n, SLICE))
+                out += refused
+                todo = None if rest is None else materialize(todo.join(rest, "item_id", "left_semi"), "undecided")
+        return out
 
     def drop(self) -> None:
         """Remove the index and its files."""
@@ -368,6 +356,19 @@ class SegmentIndex:
         remove(self.spark, self.path)
 
 
+def _union(ids: list[DataFrame]) -> DataFrame:
+    out = ids[0]
+    for more in ids[1:]:
+        out = out.union(more)
+    return out
+
+
+def _refused(delivered: DataFrame, firsts: DataFrame, refused: list[DataFrame]) -> DataFrame:
+    """Refused items: the refused firsts of classes, and all later copies."""
+    kept = firsts.select("item_id").join(_union(refused), "item_id", "left_anti") if refused else firsts.select("item_id")
+    return delivered.where(matchable()).select("item_id").join(kept, "item_id", "left_anti")
+
+
 def _opened(table: DataFrame) -> DataFrame:
     """Stored blocks as entries."""
 
@@ -401,11 +402,11 @@ def refuse_duplicates(hashes: DataFrame, history: int = 0) -> DataFrame:
     """
     spark = hashes.sparkSession
     one_each = materialize(items(hashes), "items")
-    later = sorted(r.batch_no for r in one_each.where(F.col("batch_no") > history).select("batch_no").distinct().collect())
     index = SegmentIndex.create(one_each.where(F.col("batch_no") <= history), new_path(spark, "index"))
-    refused = [index.take(one_each.where(F.col("batch_no") == b)) for b in later]
+    late = one_each.where(F.col("batch_no") > history)
+    firsts = materialize(classes(late, "batch_no"), "classes")  # of each batch by itself
+    refused: list[DataFrame] = []
+    for batch in sorted(firsts.groupBy("batch_no").count().collect(), key=lambda r: r.batch_no):
+        refused += index.take_classes(firsts.where(F.col("batch_no") == batch.batch_no), batch["count"])
     index.drop()
-    out = spark.createDataFrame([], "item_id bigint") if not refused else refused[0]
-    for r in refused[1:]:
-        out = out.union(r)
-    return out
+    return _refused(late, firsts, refused)
