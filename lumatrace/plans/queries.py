@@ -585,6 +585,13 @@ def group_reconstruction(spark: SparkSession, d: str) -> DataFrame:
     return res.reconstruct_groups(results(spark, d)).select("group_id", "best", F.size("duplicates").cast("bigint").alias("dups"))
 
 
+@query(f"SELECT group_id, coalesce(string_agg(path || ' ' || found_by, '; ' ORDER BY distance DESC, path) FILTER (NOT is_best), '') AS duplicates FROM ({RESULTS}) GROUP BY group_id")
+def group_duplicates(spark: SparkSession, d: str) -> DataFrame:
+    """The nested duplicates of each group, written out in their order."""
+    text = F.transform("duplicates", lambda x: F.concat(x["path"], F.lit(" "), x["found_by"]))
+    return res.reconstruct_groups(results(spark, d)).select("group_id", F.array_join(text, "; ").alias("duplicates"))
+
+
 @query("""
     SELECT event_type, sum((value >= 20)::INT)::BIGINT AS ok, sum((value < 20)::INT)::BIGINT AS failed, sum((value IS NULL)::INT)::BIGINT AS not_applicable,
         round(min(value) FILTER (value >= 20), 6) AS min_ms, round(avg(value) FILTER (value >= 20), 6) AS avg_ms, round(max(value) FILTER (value >= 20), 6) AS max_ms, round(sum(value / 1024), 6) AS sum_mb

@@ -142,6 +142,57 @@ def decode_blocks(b: bytes, mip_level: int = 0, array_index: int = 0) -> np.ndar
     return px.reshape(-1, across, 4, 4, c).transpose(0, 2, 1, 3, 4).reshape(-1, across * 4, c)[:n, :w].copy()
 
 
+#: Codes that consoles write backwards, and the 16-bit words of a block that they write in the other byte order.
+BACKWARD = [b"DXT1", b"DXT3", b"DXT5", b"DX10", b"ATI1", b"ATI2", b"BC4U", b"BC5U"]
+SWAPPED_WORDS = {"BC1": [0, 1], "BC2": [4, 5], "BC3": [1, 2, 3, 4, 5], "BC4": [0, 1], "BC5": [1, 2, 3, 5, 6, 7]}
+#: Marks that an engine puts before the pixels, with the bytes to leave out; behind the first, blocks lie in Morton order.
+MARKS = {b"CRYF": 8, b"FYRC": 4}
+
+
+def morton(across: int, down: int) -> np.ndarray:
+    """Where each unit of a raster lies in Morton order: bits of column and row in turn, then what the longer side has left."""
+    bits = [max(0, n - 1).bit_length() for n in (across, down)]
+    both = min(bits)
+    x, y = np.arange(across)[None, :], np.arange(down)[:, None]
+    at = np.zeros((down, across), dtype=np.int64)
+    for i in range(both):
+        at += (x >> i & 1) << (2 * i)
+        at += (y >> i & 1) << (2 * i + 1)
+    return at + ((x if bits[0] > bits[1] else y) >> both << (2 * both))
+
+
+def standard(b: bytes) -> bytes:
+    """A texture with the quirks of consoles and of one engine as other readers expect it, its first level only; others as they are."""
+    if b[:4] != b"DDS " or len(b) < 132:
+        return b
+    turned = b[84:88][::-1] in BACKWARD
+    b = b[:84] + b[84:88][::-1] + b[88:] if turned else b
+    h = read_header(b)
+    mark = b[h["start"] : h["start"] + 4]
+    if not turned and mark not in MARKS:
+        return b
+    head, body, kind = bytearray(b[: h["start"]]), b[h["start"] + MARKS.get(mark, 0) :], h["format"][:3]
+    across, down = max(1, -(-h["width"] // 4)), max(1, -(-h["height"] // 4))
+    if mark in MARKS and struct.unpack_from("<I", b, 80)[0] & 0x40 and len(body) >= across * down * 8:
+        head[80:88], kind = struct.pack("<I", 4) + b"DXT1", "BC1"  # such files state masks but hold blocks
+    struct.pack_into("<I", head, 28, 1)
+    unit = {"BC1": 8, "BC4": 8, "BC2": 16, "BC3": 16, "BC5": 16}.get(kind, 2 * struct.unpack_from("<I", b, 88)[0])
+    size = across * down * unit
+    if not unit or len(body) < size:
+        return bytes(head) + body
+    data = np.frombuffer(body, dtype=np.uint8, count=len(body) // unit * unit).reshape(-1, unit)
+    if mark == b"CRYF":
+        at = morton(across, down).ravel()
+        data = np.where((at < len(data))[:, None], data[np.minimum(at, len(data) - 1)], 0).astype(np.uint8)
+    data = data[: across * down].copy()
+    if turned and kind in SWAPPED_WORDS:
+        words = data.view("<u2")
+        words[:, SWAPPED_WORDS[kind]] = words[:, SWAPPED_WORDS[kind]].byteswap()
+    elif turned and unit >= 32:
+        data = data.reshape(-1, unit // 16)[:, ::-1].copy()
+    return bytes(head) + data.tobytes()
+
+
 def to_bytes(a: np.ndarray) -> np.ndarray:
     """Any decoded raster as bytes: 16 bit by 257, signed stretched between its extremes, float clipped to 0..1."""
     if a.dtype == np.uint8:

@@ -207,7 +207,7 @@ def _tga(b: bytes) -> dict | None:
 
 
 def _dds(b: bytes) -> dict | None:
-    m = dds.read_header(b)
+    m = dds.read_header(dds.standard(b))
     return m and {"w": m["width"], "h": m["height"], "format": "DDS", "compression": m["format"], "depth": m["depth_bits"], "details": "DXGI", "alpha": m["alpha"], "mips": m["mips"], "kind": m["texture_type"], "space": "sRGB" if m["format"].endswith("_SRGB") else "Linear"}
 
 

@@ -113,6 +113,7 @@ def decode(content: bytes, kind: str, shrink: int = 1, tonemap: bool = True) ->
     """RGBA raster of a file that Spark does not decode; a texture with mip levels is read at the smallest level at least a ``shrink``-th as wide."""
     try:
         level = 0
+        content = dds.standard(content) if kind == ".dds" else content
         if kind == ".dds" and (head := dds.read_header(content)):
             while level + 1 < head["mips"] and head["width"] >> (level + 1) >= max(1, head["width"] // shrink):
                 level += 1

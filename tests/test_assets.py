@@ -99,6 +99,37 @@ def test_block_compression():
     assert rasters.decode(texture(83, 4, 4, b"\0" * 16), ".dds").shape == (4, 4, 4)
 
 
+def fourcc(code, w, h, body):
+    head = b"DDS " + struct.pack("<IIIIIII", 124, 0x1007, h, w, 0, 0, 1) + b"\0" * 44 + struct.pack("<II4sIIIII", 32, 4, code, 0, 0, 0, 0, 0)
+    return head + struct.pack("<IIIII", 0x1000, 0, 0, 0, 0) + body
+
+
+@pytest.mark.parametrize("across,down", [(1, 1), (4, 4), (8, 2), (2, 8), (3, 5)])
+def test_textures_of_consoles_and_engines(across, down):
+    r = np.random.default_rng(across * 10 + down)
+    blocks = r.integers(0, 256, size=(down, across, 8), dtype=np.uint8)
+    w, h = across * 4, down * 4
+    want = dds.decode_blocks(fourcc(b"DXT1", w, h, blocks.tobytes()))
+    side = 1 << max(across - 1, down - 1).bit_length()
+    mixed = np.zeros((side * side, 8), dtype=np.uint8)
+    for y in range(down):
+        for x in range(across):
+            nx, ny = (across - 1).bit_length(), (down - 1).bit_length()
+            bits, at, place = [], 0, 0
+            for i in range(max(nx, ny)):
+                bits += ([x >> i & 1] if i < nx else []) + ([y >> i & 1] if i < ny else [])
+            for place, bit in enumerate(bits):
+                at |= bit << place
+            mixed[at] = blocks[y, x]
+    assert (dds.decode_blocks(dds.standard(fourcc(b"DXT1", w, h, b"CRYF\0\0\0\0" + mixed.tobytes()))) == want).all()
+    assert (dds.decode_blocks(dds.standard(fourcc(b"DXT1", w, h, b"FYRC" + blocks.tobytes()))) == want).all()
+    turned = blocks.reshape(-1, 8).copy()
+    turned[:, :4] = turned[:, [1, 0, 3, 2]]
+    assert (dds.decode_blocks(dds.standard(fourcc(b"1TXD", w, h, turned.tobytes()))) == want).all()
+    assert (rasters.decode(fourcc(b"1TXD", w, h, turned.tobytes()), ".dds").shape) == (h, w, 4)
+    assert metadata.read_metadata(fourcc(b"1TXD", w, h, turned.tobytes()))["compression"] == "BC1_UNORM"
+
+
 def test_other_decoders():
     head = lambda kind, bits, flags=0x20: bytes([0, 0, kind]) + b"\0" * 9 + struct.pack("<HHBB", 2, 2, bits, flags)
     plain = rasters.read_tga(head(2, 24) + bytes(range(12)))
