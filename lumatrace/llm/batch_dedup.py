@@ -146,12 +146,11 @@ def _hold(stored: pa.Table, probes: pa.Table) -> pa.Table:
     # of what is stored only the probed buckets matter
     kept = []
     for block in stored.column("block"):
-        k, c = B.unpack([block], STORED)
-        by = np.argsort(k)  # neighbours are then looked up next to each other
-        k, c = k[by], {n: v[by] for n, v in c.items()}
-        place = np.minimum(np.searchsorted(each, k), max(0, len(each) - 1))
-        hit = np.flatnonzero(each[place] == k) if len(each) else np.zeros(0, dtype=np.int64)
-        kept.append((k[hit], place[hit], c["phash"][hit], c["dhash"][hit]))
+        k, c = B.unpack([block], STORED)  # sorted by key
+        lo = np.searchsorted(k, each)
+        n = np.searchsorted(k, each, side="right") - lo
+        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - lo, n)
+        kept.append((np.repeat(each, n), np.repeat(np.arange(len(each)), n), c["phash"][at], c["dhash"][at]))
     s_keys, s_dense, s_ph, s_dh = (np.concatenate(x) for x in zip(*kept)) if kept else (np.zeros(0, dtype=t) for t in ("u8", "i8", "u8", "u8"))
 
     def close(a_ph: np.ndarray, a_dh: np.ndarray, b_ph: np.ndarray, b_dh: np.ndarray, bits: bool):

@@ -125,8 +125,8 @@ def plan(df: DataFrame, file: FileFn, entries: int, lanes: int = 1, per_group: i
     return replace(layout, parts={g: -(-n // per_group) for g, n in _full_groups(df, file, layout, limit).items()})
 
 
-def _packed(df: DataFrame, file: FileFn, types: list[str], layout: Layout, spread: Callable, schema: str) -> DataFrame:
-    """Blocks by group. A block is the concatenation of its entries' keys (u8) and payload columns, each as one array."""
+def _packed(df: DataFrame, file: FileFn, types: list[str], layout: Layout, spread: Callable, schema: str, by_key: bool = False) -> DataFrame:
+    """Blocks by group. A block is the concatenation of its entries' keys (u8) and payload columns, each as one array; ``by_key`` sorts its entries."""
     kinds = [np.dtype(t) for t in types]
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,7 +136,7 @@ def _packed(df: DataFrame, file: FileFn, types: list[str], layout: Layout, sprea
                 if not len(keys):
                     continue
                 g = layout.group(keys, lane)
-                order = np.argsort(g, kind="stable")
+                order = np.lexsort((keys, g)) if by_key else np.argsort(g, kind="stable")
                 for at in np.split(order, np.flatnonzero(np.diff(g[order])) + 1):
                     grp = int(g[at[0]])
                     arrays = [cols[c][rows[at]].astype(t, copy=False) for c, t in zip(names, kinds)]
@@ -171,7 +171,7 @@ def pack_pairs(df: DataFrame, file: FileFn, payload: list[tuple[str, str]], layo
 
 
 def pack_stored(df: DataFrame, file: FileFn, payload: list[tuple[str, str]], layout: Layout) -> DataFrame:
-    """``grp, n, block`` of entries that stay; a chunk of a large group is a group of its own."""
+    """``grp, n, block`` of entries that stay, sorted by key in a block; a chunk of a large group is a group of its own."""
 
     def spread(grp: int, layout: Layout, arrays: list[np.ndarray]):
         parts = layout.parts.get(grp, 1)
@@ -182,7 +182,7 @@ def pack_stored(df: DataFrame, file: FileFn, payload: list[tuple[str, str]], lay
         for c in np.unique(chunk).tolist():
             yield (grp + layout.groups * c,), chunk == c
 
-    return _packed(df, file, [t for _, t in payload], layout, spread, "grp int, n int, block binary")
+    return _packed(df, file, [t for _, t in payload], layout, spread, "grp int, n int, block binary", by_key=True)
 
 
 def pack_probes(df: DataFrame, file: FileFn, payload: list[tuple[str, str]], layout: Layout) -> DataFrame:
