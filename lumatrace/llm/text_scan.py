@@ -24,7 +24,6 @@ BREAKS, BULLETS, CLOSERS, ENDS = "\n\r\v\f\x1c\x1d\x1e\x85\u2028\u2029", "-*•+
 PATH = re.compile(r"(?<=[^\s][ ])(?:\b[A-Za-z]:)?(?:/[^\s/,;|:]+){2,}")
 FILL = "\ufdd0"
 _BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
 
 
 def _class(ch: str) -> int:
@@ -43,9 +42,9 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
 
 
 @functools.cache
-def _powers(base: int, n: int) -> np.ndarray:
+def _powers(n: int) -> np.ndarray:
     with np.errstate(over="ignore"):
-        return np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, np.uint64(base))]), dtype=np.uint64)
+        return np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, np.uint64(_BASE))]), dtype=np.uint64)
 
 
 def _points(text: str) -> np.ndarray:
@@ -75,7 +74,7 @@ def word_number(word: str) -> int:
     """Number of a lower-case word, as :class:`Chunk` has it for the words of texts."""
     _, low = _classes(_points(word))
     with np.errstate(over="ignore"):
-        return int(((low.astype(np.uint64) + np.uint64(1)) * _powers(_BASE, 1 << 10)[: len(low)]).sum(dtype=np.uint64)) if len(low) <= 1 << 10 else 0
+        return int(((low.astype(np.uint64) + np.uint64(1)) * _powers(max(1, len(low)))).sum(dtype=np.uint64)) if len(low) else 0
 
 
 class Chunk:
@@ -107,11 +106,17 @@ class Chunk:
         self.word_at, self.word_end = start, end
 
     def word_numbers(self) -> np.ndarray:
-        n = 1 << max(10, int(len(self.cp) - 1).bit_length())
+        """A number for each word, equal for equal words in lower case: its characters as digits to an odd base."""
+        at, end, n = self.word_at, self.word_end, len(self.cp)
+        if not len(at):
+            return np.zeros(0, dtype=np.uint64)
+        longest = int((end - at).max())
+        place = np.arange(at[0], n, dtype=np.int32 if n < 1 << 31 else np.int64)
+        place -= np.repeat(at, np.diff(np.append(at, n))).astype(place.dtype)
+        np.minimum(place, longest - 1, out=place)  # what lies behind a word is left out below
         with np.errstate(over="ignore"):
-            total = np.cumsum((self.low.astype(np.uint64) + np.uint64(1)) * _powers(_BASE, n)[: len(self.cp)], dtype=np.uint64)
-            before = np.where(self.word_at > 0, total[self.word_at - 1], np.uint64(0))
-            return (total[self.word_end - 1] - before) * _powers(_INVERSE, n)[self.word_at]
+            digits = (self.low[at[0] :].astype(np.uint64) + np.uint64(1)) * _powers(1 << int(longest - 1).bit_length())[place]
+            return np.add.reduceat(digits, np.stack([at, end], axis=1).ravel() - at[0])[::2]
 
     def _lines(self) -> None:
         """Lines that are not blank: their ranges, words, kinds, and whether they are list items or closed."""

@@ -98,6 +98,16 @@ def test_shards_add_up_to_the_totals():
     assert all((b == sum(counts[:i], np.zeros(4))).all() for i, b in enumerate(ends))
 
 
+def test_large_totals_are_divided_in_proportion():
+    totals = np.array([3_000_000_000, 1, 0, 2_000_000_000, 40])
+    for seed in range(20):
+        left = mixture._big_split(np.random.Generator(np.random.PCG64(seed)), totals, 1_250_000_010)
+        assert left.sum() == 1_250_000_010 and (left >= 0).all() and (left <= totals).all()
+        assert abs(left[0] - 750_000_006) < 200_000 and abs(left[3] - 500_000_004) < 200_000
+    counts, before = mixture.shard_counts(5, 500, totals, 10_000_001, 3)
+    assert counts.sum() == 10_000_001 and before.sum() == 5 * 10_000_001
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 17, 64, 1000])
 def test_permutation(n):
     assert sorted(mixture.permuted(np.arange(n), n, 12345).tolist()) == list(range(n))
