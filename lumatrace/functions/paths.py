@@ -58,10 +58,6 @@ def parse_list(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, ","), lambda x: F.lower(F.trim(x))), lambda x: x != "")
 
 
-def model_folder(base: Column, quantisation: Column) -> Column:
-    return F.concat(base, F.when(F.upper(quantisation) == "FP16", "_fp16").when(F.upper(quantisation) == "INT8", "_int8").otherwise(""))
-
-
 def common_base_name(stems: Column) -> Column:
     """Longest common prefix of an array of stems, cut back to the last of ``_``, ``-`` or blank where they differ."""
     short = F.array_min(F.transform(stems, lambda s: F.struct(F.length(s).alias("n"), s.alias("s"))))["s"]

@@ -83,6 +83,7 @@ def star_groups(files: DataFrame, pairs: DataFrame, exact: DataFrame | None = No
     )
     tied = ties.join(lead, "leader").select("component", "node", "leader", "method", "distance")
     if exact is not None and not strict:
+        exact = materialize(exact.join(known.select("node"), "node", "left_semi"), "twins")  # a twin counts in its own component only
         by_hash = lead.join(exact.select(F.col("node").alias("leader"), F.col("hash")), "leader").join(exact, "hash").where("node <> leader")
         twins = by_hash.select("component", "node", "leader", F.lit("xxHash").alias("method"), F.lit(0.0).alias("distance"))
         tied = tied.unionByName(twins).groupBy("component", "node", "leader").agg(F.min(F.struct(method_rank(F.col("method")).alias("r"), "distance", "method")).alias("e"))

@@ -87,10 +87,6 @@ def partitions_for(rows: int) -> int:
     return int(np.clip(int(np.sqrt(rows)), 128, 2048))
 
 
-def sub_vectors(dim: int) -> int:
-    return next((m for m in (96, 64, 32) if dim % m == 0), max(1, dim // 16))
-
-
 def fit_cells(vectors: DataFrame, cells: int, vec_col: str = "embedding", fit_rows: int = FIT_ROWS, seed: int = 5) -> np.ndarray:
     """Unit centroids fitted on at most ``fit_rows`` vectors, a bound on what reaches the driver."""
     share = min(1.0, fit_rows / max(1, vectors.count()))

@@ -52,9 +52,14 @@ def onnx_model(path: str, providers: Sequence[str] = ("CPUExecutionProvider",))
     return make
 
 
-def model_ready(folder: str, reads_text: bool, vision: str = "visual.onnx", text: str = "text.onnx") -> bool:
+def model_folder(base: str, quantisation: str = "FP32") -> str:
+    """Folder of a model: that of its full precision has no suffix."""
+    return base + {"FP16": "_fp16", "INT8": "_int8"}.get(quantisation.upper(), "")
+
+
+def model_ready(folder: str, reads_text: bool, quantisation: str = "FP32", vision: str = "visual.onnx", text: str = "text.onnx") -> bool:
     """Whether the files of a model are there: that for pictures, and that for texts if it reads them."""
-    return all(os.path.isfile(os.path.join(folder, f)) for f in ([vision, text] if reads_text else [vision]))
+    return all(os.path.isfile(os.path.join(model_folder(folder, quantisation), f)) for f in ([vision, text] if reads_text else [vision]))
 
 
 def _model(name: str, make: Callable[[], Model]) -> Model:

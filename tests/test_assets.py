@@ -210,6 +210,9 @@ def test_vectors_of_pictures(spark, tmp_path):
     assert len({r.id for r in rows}) == 2
     assert np.linalg.norm(embedding.embed_text("ab", lambda t: np.array([[len(t)] * 3] * 3, dtype=float).reshape(3, 3), lambda x: x.reshape(len(x), -1))) == pytest.approx(1)
     assert not embedding.model_ready(str(tmp_path), True)
+    (tmp_path / "m_fp16").mkdir()
+    (tmp_path / "m_fp16/visual.onnx").write_bytes(b"")
+    assert embedding.model_ready(str(tmp_path / "m"), False, "fp16") and not embedding.model_ready(str(tmp_path / "m"), True, "fp16")
 
 
 def test_pixel_helpers():
