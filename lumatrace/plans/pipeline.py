@@ -11,16 +11,26 @@ from .config import ScanConfig
 from .scratch import materialize
 
 
-def perceptual_evidence(hashes: DataFrame, method: str, column: str, max_bits: int, mode: str = "pivot") -> DataFrame:
-    """Evidence rows of one hash method from rows (path, channel, hash)."""
-    node = clusters.node_key(F.col("path"), F.col("channel"))
-    rows = hashes.withColumn("node", node)
-    near = bands.banded_pairs(rows, "node", column, max_bits, mode)
-    part = lambda c, i: F.substring_index(F.col(c), "|", i)
+def perceptual_evidence(hashes: DataFrame, methods: list[tuple[str, str, int]], mode: str = "pivot") -> DataFrame:
+    """Evidence rows of hash methods (name, column, bits) from rows (path, channel, hashes).
+
+    Nodes are numbered in the order of their keys, so that the bands move numbers and still have the smallest key as pivot.
+    """
+    columns = [c for _, c, _ in methods]
+    keyed = hashes.select(clusters.node_key(F.col("path"), F.col("channel")).alias("node"), *columns)
+    numbered = materialize(clusters.number_groups(keyed.select("node").distinct(), "node"), "numbers")
+    rows = materialize(keyed.join(numbered, "node").select(F.col("group_id").alias("id"), *columns), "hashes")
+    near = [bands.banded_pairs(rows, "id", column, bits, mode).select("id_a", "id_b", F.lit(method).alias("method")) for method, column, bits in methods]
+    pairs = near[0]
+    for more in near[1:]:
+        pairs = pairs.union(more)
+    pairs = materialize(pairs, "near")
+    last = F.substring_index("node", "|", -1)
     # a path may hold a bar; the channel is what follows the last one
-    path = lambda c: F.substring(F.col(c), 1, F.length(F.col(c)) - F.length(part(c, -1)) - 1)
-    chan = lambda c: F.nullif(part(c, -1), F.lit(""))
-    return near.select(path("id_a").alias("path1"), chan("id_a").alias("channel1"), path("id_b").alias("path2"), chan("id_b").alias("channel2"), F.lit(method).alias("method"), F.lit(0.0).alias("distance"))
+    path, channel = F.substring(F.col("node"), F.lit(1), F.length("node") - F.length(last) - 1), F.nullif(last, F.lit(""))
+    end = lambda side, i: numbered.select(F.col("group_id").alias(f"id_{side}"), path.alias(f"path{i}"), channel.alias(f"channel{i}"))
+    both = pairs.join(end("a", 1), "id_a").join(end("b", 2), "id_b")
+    return both.select("path1", "channel1", "path2", "channel2", "method", F.lit(0.0).alias("distance"))
 
 
 def with_composites(files: DataFrame) -> DataFrame:
@@ -47,9 +57,9 @@ def duplicate_scan(config: ScanConfig, files: DataFrame, hashes: DataFrame | Non
         null = F.lit(None).cast("string")
         producers.append(e.select("path1", null.alias("channel1"), "path2", null.alias("channel2"), F.lit("xxHash").alias("method"), F.lit(0.0).alias("distance")))
     if hashes is not None:
-        for on, method, column, bits in ((c.find_dhash, "dHash", "dhash", c.dhash_bits), (c.find_phash, "pHash", "phash", c.phash_bits), (c.find_whash, "wHash", "whash", c.whash_bits)):
-            if on:
-                producers.append(perceptual_evidence(hashes, method, column, bits))
+        every = ((c.find_dhash, "dHash", "dhash", c.dhash_bits), (c.find_phash, "pHash", "phash", c.phash_bits), (c.find_whash, "wHash", "whash", c.whash_bits))
+        if methods := [m for on, *m in every if on]:
+            producers.append(perceptual_evidence(hashes, methods))
     if links is not None and c.use_ai:
         producers.append(links.where(F.col("distance") <= vec.threshold_distance(c.similarity)))
     pairs = materialize(clusters.merge_evidence(clusters.union_evidence(*producers)), "pairs")
