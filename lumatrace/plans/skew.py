@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 
@@ -31,3 +31,13 @@ def lookup(rows: DataFrame, key: str, table: DataFrame, value: str, total: int,
         return rows.join(table, key, "left")
     of = rows.groupBy(key).agg(F.count("*").alias("_n")).join(table, key, "left").select(key, value, "_n")
     return join_counted(rows, of, key, "_n", total, hot)
+
+
+def grouped(rows: DataFrame, keys: list[str], groups: int, per_task: int = 8) -> GroupedData:
+    """``rows`` grouped by ``keys`` for functions over groups of a bounded size, with as many tasks as ``groups`` groups of them need.
+
+    The session's number of shuffle partitions does not grow with the data, so a task of it would; here a task has about
+    ``per_task`` groups at most. Few groups are spread over more tasks than there are groups, so that hardly any two share one.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(max(min(4 * groups, 8 * cores), -(-groups // per_task), 1), *keys).groupBy(*keys)
