@@ -128,7 +128,9 @@ def _buckets(keys: np.ndarray, dense: np.ndarray, dhash: np.ndarray) -> Iterator
     key, dh = dense[at], dhash[at]
     for s in range(SEGMENTS):
         width = CUTS[s + 1] - CUTS[s]
-        yield at, key << width | segment_values(dh, s).astype(np.int64), 1 << width, True
+        bucket = key << width
+        bucket |= (dh >> np.uint64(CUTS[s])).astype(bucket.dtype) & bucket.dtype.type((1 << width) - 1)
+        yield at, bucket, 1 << width, True
 
 
 def _hold(stored: pa.Table, probes: pa.Table) -> pa.Table:
@@ -143,14 +145,15 @@ def _hold(stored: pa.Table, probes: pa.Table) -> pa.Table:
     rank = np.empty(len(order), dtype=np.int64)
     rank[order] = np.arange(len(order))
     each, dense = np.unique(keys, return_inverse=True)
+    dense = dense.astype(np.int32 if len(each) < 1 << 23 else np.int64)
     # of what is stored only the probed buckets matter
     kept = []
     for block in stored.column("block"):
         k, c = B.unpack([block], STORED)  # sorted by key
         lo = np.searchsorted(k, each)
         n = np.searchsorted(k, each, side="right") - lo
-        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - lo, n)
-        kept.append((np.repeat(each, n), np.repeat(np.arange(len(each)), n), c["phash"][at], c["dhash"][at]))
+        at = slice(None) if n.sum() == len(k) else np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - lo, n)
+        kept.append((np.repeat(each, n), np.repeat(np.arange(len(each), dtype=dense.dtype), n), c["phash"][at], c["dhash"][at]))
     s_keys, s_dense, s_ph, s_dh = (np.concatenate(x) for x in zip(*kept)) if kept else (np.zeros(0, dtype=t) for t in ("u8", "i8", "u8", "u8"))
 
     def close(a_ph: np.ndarray, a_dh: np.ndarray, b_ph: np.ndarray, b_dh: np.ndarray, bits: bool):

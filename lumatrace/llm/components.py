@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.scratch import materialize
-from ..plans.skew import join_counted
+from ..plans.skew import grouped, join_counted
 
 CELL = 500_000
 BLOCKS = 4
@@ -93,7 +93,7 @@ def grid_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     levels: list[tuple[DataFrame, int]] = []
     while n := left.count():
         blocks = max(1 if levels else BLOCKS, math.ceil(math.sqrt(2 * n / CELL)) if n > CELL else 1)
-        forest = materialize(_cells(left, blocks).groupBy("cell", "part").applyInArrow(_unite, "v bigint, r bigint"), "forest")
+        forest = materialize(grouped(_cells(left, blocks), ["cell", "part"], blocks * (blocks + 1) // 2, 2).applyInArrow(_unite, "v bigint, r bigint"), "forest")
         if blocks == 1:
             levels.append((forest.select("v", F.col("r").alias("p")), n))
             break

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.scratch import materialize
-from ..plans.skew import join_counted
+from ..plans.skew import grouped, join_counted
 from . import buckets as B
 from .sketch import BitSketch
 
@@ -130,7 +130,7 @@ def class_pairs(cls: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
         return pa.table({"rep_a": every[0], "rep_b": every[1], "bits": every[2].astype(np.int32)})
 
     blocks = B.pack_pairs(rows, _file, PAYLOAD, layout)
-    return blocks.groupBy("grp", "pair").applyInArrow(compare, "rep_a bigint, rep_b bigint, bits int").distinct()
+    return grouped(blocks, ["grp", "pair"], layout.groups).applyInArrow(compare, "rep_a bigint, rep_b bigint, bits int").distinct()
 
 
 def _with_class(one_each: DataFrame, cls: DataFrame, columns: list[str]) -> DataFrame:

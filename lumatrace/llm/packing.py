@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.skew import grouped
 from .tokens import token_count
 
 CAPACITY = 512
@@ -88,7 +89,7 @@ def pack_documents(documents: DataFrame, capacity: int = CAPACITY, per_bin: int
         .withColumn("turn", F.xxhash64("doc_id"))
         .withColumn("bin", F.pmod("turn", F.lit(bins)))
     )
-    return sized.groupBy("bin").applyInPandas(lambda key, pdf: _pack_bin(key, pdf, capacity), SCHEMA)
+    return grouped(sized, ["bin"], bins).applyInPandas(lambda key, pdf: _pack_bin(key, pdf, capacity), SCHEMA)
 
 
 def packing_report(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:

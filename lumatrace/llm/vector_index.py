@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.scratch import materialize
+from ..plans.skew import grouped
 
 SAMPLE = 32_768
 SUBSPACES = 24
@@ -283,7 +284,8 @@ def class_neighbours(cls: DataFrame, total: int, sample: np.ndarray, dim: int, k
         return pa.table({"rep": ids[a], "other": ids[b], "distance": d})
 
     routed = cls.select("rep", "vector").mapInArrow(route, "shard int, rep bigint, vector array<float>, cell int, home boolean")
-    return routed.groupBy("shard").applyInArrow(search, "rep bigint, other bigint, distance double")
+    shards = int((q.shard_of + q.parts).max())
+    return grouped(routed, ["shard"], shards, 2).applyInArrow(search, "rep bigint, other bigint, distance double")
 
 
 def nearest_items(vectors: DataFrame, k: int = 10, max_distance: float = 2.0, dim: int = 96, probes: int | None = None, refine: int = REFINE, **sizes: int) -> DataFrame:
