@@ -141,15 +141,17 @@ def _hold(stored: pa.Table, probes: pa.Table) -> pa.Table:
     keys, p = B.unpack(probes.column("block"), PROBE)
     by = np.lexsort((p["item_id"], p["batch_no"], keys))
     keys, ph, dh, ids = keys[by], p["phash"][by], p["dhash"][by], p["item_id"][by]
-    order = np.lexsort((ids, p["batch_no"][by]))
-    rank = np.empty(len(order), dtype=np.int64)
-    rank[order] = np.arange(len(order))
     each, dense = np.unique(keys, return_inverse=True)
     dense = dense.astype(np.int32 if len(each) < 1 << 23 else np.int64)
     # of what is stored only the probed buckets matter
     kept = []
     for block in stored.column("block"):
         k, c = B.unpack([block], STORED)  # sorted by key
+        if len(k) < 2 * len(each):
+            place = np.minimum(np.searchsorted(each, k), len(each) - 1)
+            at = np.flatnonzero(each[place] == k)
+            kept.append((k[at], place[at].astype(dense.dtype), c["phash"][at], c["dhash"][at]))
+            continue
         lo = np.searchsorted(k, each)
         n = np.searchsorted(k, each, side="right") - lo
         at = slice(None) if n.sum() == len(k) else np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - lo, n)
@@ -171,6 +173,7 @@ def _hold(stored: pa.Table, probes: pa.Table) -> pa.Table:
         todo = np.flatnonzero(~gone[at])
         if not len(todo) or not len(s_at):
             continue
+        todo = todo[np.argsort(bucket[todo])]  # neighbours are then looked up next to each other
         at, bucket = at[todo], bucket[todo]
         probed = np.zeros(len(each) * width, dtype=bool)
         probed[bucket] = True
@@ -186,10 +189,11 @@ def _hold(stored: pa.Table, probes: pa.Table) -> pa.Table:
     for at, bucket, _, bits in _buckets(keys[live], dense[live], dh[live]):
         if not len(at):
             continue
-        turn = np.lexsort((rank[live[at]], bucket))
+        turn = np.argsort(bucket, kind="stable")  # the entries of a key stand in the order of batch and id
         at, bucket = live[at[turn]], bucket[turn]
-        start = np.searchsorted(bucket, bucket)
-        q, c = B.first_passing(start, np.arange(len(at)), close(ph[at], dh[at], ph[at], dh[at], bits), PARTNERS)
+        place = np.arange(len(at))
+        start = np.maximum.accumulate(np.where(np.append(True, bucket[1:] != bucket[:-1]), place, 0))
+        q, c = B.first_passing(start, place, close(ph[at], dh[at], ph[at], dh[at], bits), PARTNERS)
         pairs.append(np.stack([ids[at[q]], ids[at[c]]]))
         full.append(ids[at[np.flatnonzero(np.bincount(q, minlength=len(at)) == PARTNERS)]])
     pair = np.unique(np.concatenate(pairs, axis=1), axis=1)
@@ -219,18 +223,18 @@ def _settle(links: DataFrame) -> tuple[list[DataFrame], DataFrame | None]:
     """
     one = lambda df, c: df.select(F.col(c).alias("item_id"))
     seen = links.agg(F.count("earlier").alias("pairs"), F.count_if("more").alias("more")).first()
-    old = one(links.where("earlier IS NULL AND NOT more"), "later").distinct()
+    old = one(links.where("earlier IS NULL AND NOT more"), "later")  # ids may repeat; they are only asked for
     refused = [old]
     if not seen.pairs:  # an item with more partners than were named has some that were
         return refused, None
-    pair = materialize(_without(links.where("earlier IS NOT NULL"), old, "later", "earlier").select("later", "earlier").distinct(), "links")
-    more = materialize(one(_without(links.where("more"), old, "later"), "later").distinct(), "more") if seen.more else None
-    undecided = one(pair, "later").union(one(pair, "earlier")).distinct()
+    pair = materialize(_without(links.where("earlier IS NOT NULL"), old, "later", "earlier").select("later", "earlier"), "links")
+    more = materialize(one(_without(links.where("more"), old, "later"), "later"), "more") if seen.more else None
+    undecided = one(pair, "later").union(one(pair, "earlier"))
     for _ in range(ROUNDS):
         free = undecided.join(one(pair, "later"), "item_id", "left_anti")
         if more is not None:
             free = free.join(more, "item_id", "left_anti")
-        beaten = one(pair.join(free.withColumnRenamed("item_id", "earlier"), "earlier", "left_semi"), "later").distinct()
+        beaten = one(pair.join(free.withColumnRenamed("item_id", "earlier"), "earlier", "left_semi"), "later")
         done = materialize(free.withColumn("ok", F.lit(True)).union(beaten.withColumn("ok", F.lit(False))), "settled")
         refused.append(done.where("NOT ok").select("item_id"))
         ids = done.select("item_id")
