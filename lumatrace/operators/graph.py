@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.scratch import discard, materialize
-from ..plans.skew import lookup
+from ..plans.skew import join_counted, lookup
 
 #: edges up to which one task runs a union-find; a bound of some tens of megabytes
 ONE_TASK = 500_000
@@ -51,12 +51,50 @@ def _in_one_task(pairs: DataFrame) -> DataFrame:
     return pairs.coalesce(1).mapInArrow(run, f"node {kind}, component {kind}")
 
 
+def _bound(most: DataFrame, total: int) -> int:
+    """What bounds the rows of a key in a join: the number in ``most`` if no key is hot by it, else all rows."""
+    found = most.first()[0] or 0
+    return found if found <= HOT else total
+
+
+def _contract(edges: DataFrame, n: int) -> DataFrame:
+    """``node, component`` for both ends of ``n`` distinct edges ``x < y`` of numbers in random order; the component is one of its nodes.
+
+    In a round all nodes hook to their smallest neighbour, parents jump once and the edges between parents are the
+    next round's, which are a third or fewer, chains and hubs alike; what a task can hold ends the rounds. The parents
+    of the rounds are then composed backwards.
+    """
+    rounds: list[tuple[DataFrame, int]] = []
+    while n > ONE_TASK:
+        both = edges.union(edges.select("y", "x"))
+        near = materialize(both.groupBy("x").agg(F.least(F.col("x"), F.min("y")).alias("p"), F.count("*").alias("n")), "near")
+        most = _bound(near.agg(F.max("n") + 1), 2 * n)  # only its neighbours and itself have a node as parent
+        jump = near.select(F.col("x").alias("p"), F.col("p").alias("pp"))
+        parents = materialize(lookup(near.select("x", "p"), "p", jump, "pp", most, HOT).select("x", F.col("pp").alias("p")), "parents")
+        rounds.append((parents, 2 * n))
+        from_x = lookup(edges, "x", parents.select("x", F.col("p").alias("px")), "px", most, HOT)
+        ends = lookup(from_x, "y", parents.select(F.col("x").alias("y"), F.col("p").alias("py")), "py", most, HOT).where("px <> py")
+        left = materialize(ends.select(F.least("px", "py").alias("x"), F.greatest("px", "py").alias("y")).distinct(), "edges")
+        discard(near)
+        discard(edges)
+        edges, n = left, left.count()
+    labels = materialize(_in_one_task(edges), "labels")
+    for parents, total in reversed(rounds):
+        most = _bound(parents.groupBy("p").count().agg(F.max("count")), total)
+        above = labels.select(F.col("node").alias("p"), F.col("component").alias("top"))
+        below = materialize(lookup(parents, "p", above, "top", most, HOT).select(F.col("x").alias("node"), F.coalesce("top", "p").alias("component")), "labels")
+        discard(parents)
+        discard(labels)
+        labels = below
+    return labels
+
+
 def connected_components(edges: DataFrame, a: str = "src", b: str = "dst") -> DataFrame:
     """``node, component`` for all nodes of ``edges``; the component is its smallest node.
 
-    Up to ``ONE_TASK`` distinct edges one task suffices. Beyond, each round takes
-    the smallest label among a node and its neighbours, then the label of that
-    label, so chains halve; a round's table cuts the lineage. Hubs and the labels of giant
+    Up to ``ONE_TASK`` distinct edges one task suffices. Beyond, nodes are numbered by hashes and
+    the numbers' graph is contracted, so the rounds grow with the logarithm of the edges however far across a
+    component is; a round's table cuts the lineage. Hubs and the parents of giant
     components are hot keys of these joins and are looked up where their rows are. Null ends tie
     nothing; a loop keeps its node as a component of its own.
     """
@@ -65,16 +103,19 @@ def connected_components(edges: DataFrame, a: str = "src", b: str = "dst") -> Da
     n = once.count()
     if n <= ONE_TASK:
         return materialize(_in_one_task(once), "labels")
-    both = materialize(once.union(once.where("x <> y").select("y", "x")), "edges")
-    labels = materialize(both.groupBy("x").agg(F.least(F.col("x"), F.min("y")).alias("l")), "labels")
-    while True:
-        near = lookup(both, "y", labels.select(F.col("x").alias("y"), F.col("l").alias("ly")), "ly", 2 * n, HOT).groupBy("x").agg(F.min("ly").alias("m"))
-        step = labels.join(near, "x").select("x", F.least("l", "m").alias("l"), F.col("l").alias("old"))
-        step = materialize(step, "labels")
-        jump = step.select(F.col("x").alias("l"), F.col("l").alias("ll"))
-        new = materialize(lookup(step, "l", jump, "ll", 2 * n, HOT).select("x", F.coalesce("ll", "l").alias("l"), "old"), "labels")
-        moved = new.where("l <> old").limit(1).count()
-        discard(step)
-        labels = new.select("x", "l")
-        if not moved:
-            return labels.select(F.col("x").alias("node"), F.col("l").alias("component"))
+    keys = once.select(F.explode(F.array("x", "y")).alias("node"))
+    salt = 0
+    while True:  # another salt if two nodes meet
+        nodes = materialize(keys.groupBy(F.xxhash64(F.lit(salt), "node").alias("id")).agg(F.min("node").alias("node"), F.max("node").alias("last")), "nodes")
+        if not nodes.where("node <> last").limit(1).count():
+            break
+        discard(nodes)
+        salt += 1
+    number = [F.xxhash64(F.lit(salt), c) for c in ("x", "y")]
+    ties = materialize(once.where("x <> y").select(F.least(*number).alias("x"), F.greatest(*number).alias("y")), "edges")
+    discard(once)
+    of = _contract(ties, n).select(F.col("node").alias("id"), "component")
+    labels = materialize(nodes.join(of, "id", "left").select(F.coalesce("component", "id").alias("root"), "node"), "labels")
+    discard(nodes)
+    smallest = labels.groupBy("root").agg(F.min("node").alias("component"), F.count("*").alias("n"))
+    return join_counted(labels, smallest, "root", "n", _bound(smallest.agg(F.max("n")), 2 * n), HOT).select("node", "component")

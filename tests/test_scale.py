@@ -55,6 +55,32 @@ def test_components_with_a_hub(spark, monkeypatch):
     assert {got[f"leaf{i:03d}"] for i in range(200)} == {"hub"} and {got[f"c{i:03d}"] for i in range(61)} == {"c000"} and got["loop"] == "loop" and None not in got
 
 
+def test_components_far_across_take_few_rounds(spark, monkeypatch):
+    monkeypatch.setattr(graph, "ONE_TASK", 20)
+    tables, write = [], graph.materialize
+
+    def counted(df, label):
+        tables.append(label)
+        assert len(tables) <= 40  # a label for each step of the way would be hundreds
+        return write(df, label)
+
+    monkeypatch.setattr(graph, "materialize", counted)
+    names = [f"n{i:03d}" for i in range(300)]
+    random.Random(4).shuffle(names)
+    edges = [*zip(names, names[1:], strict=False), ("x1", "x0"), ("only", "only"), ("x1", None)]
+    got = {(r.node, r.component) for r in graph.connected_components(spark.createDataFrame(edges, "src string, dst string")).collect()}
+    assert got == {(n, "n000") for n in names} | {("x0", "x0"), ("x1", "x0"), ("only", "only")}
+
+
+def test_components_whose_hashes_meet(spark, monkeypatch):
+    monkeypatch.setattr(graph, "ONE_TASK", 1)
+    whole = F.xxhash64
+    monkeypatch.setattr(graph.F, "xxhash64", lambda salt, c: whole(salt, c) if "1" in str(salt) else whole(salt))
+    edges = [("a", "b"), ("c", "d"), ("d", "e")]
+    got = {(r.node, r.component) for r in graph.connected_components(spark.createDataFrame(edges, "src string, dst string")).collect()}
+    assert got == {("a", "a"), ("b", "a"), ("c", "c"), ("d", "c"), ("e", "c")}
+
+
 def test_comparing_all_has_a_bound(spark, monkeypatch):
     v = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(40)], "vec_id bigint, embedding array<float>")
     exact = {tuple(r) for r in similar.neighbours(v, 3).select("id", "other").collect()}
