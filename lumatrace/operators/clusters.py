@@ -88,7 +88,7 @@ def star_groups(files: DataFrame, pairs: DataFrame, exact: DataFrame | None = No
         twins = by_hash.select("component", "node", "leader", F.lit("xxHash").alias("method"), F.lit(0.0).alias("distance"))
         tied = tied.unionByName(twins).groupBy("component", "node", "leader").agg(F.min(F.struct(method_rank(F.col("method")).alias("r"), "distance", "method")).alias("e"))
         tied = tied.select("component", "node", "leader", "e.method", "e.distance")
-    tied = tied.join(known.select("component", "node"), ["component", "node"], "left_semi")
+    tied = materialize(tied.join(known.select("component", "node"), ["component", "node"], "left_semi"), "tied")
     heads = tied.select("component", "leader").distinct()
     best = heads.select("component", F.col("leader").alias("node"), "leader", F.lit("Best").alias("method"), F.lit(0.0).alias("distance"))
     return best.unionByName(tied).withColumn("is_best", F.col("node") == F.col("leader"))

@@ -460,7 +460,7 @@ def _edge_files(spark: SparkSession, d: str) -> DataFrame:
     t AS (SELECT l.component, l.leader, l.node, p.e[3] AS method, p.e[2] AS distance FROM l JOIN pairs p ON p.node_a = least(l.node, l.leader) AND p.node_b = greatest(l.node, l.leader))
     SELECT component, node, leader, method, distance, false AS is_best FROM t UNION ALL SELECT DISTINCT component, leader, leader, 'Best', 0.0::DOUBLE, true FROM t""")
 def star_groups(spark: SparkSession, d: str) -> DataFrame:
-    pairs = clusters.merge_evidence(read(spark, d, "edges"))
+    pairs = materialize(clusters.merge_evidence(read(spark, d, "edges")), "pairs")
     return clusters.star_groups(_edge_files(spark, d), pairs).select("component", "node", "leader", "method", "distance", "is_best")
 
 

@@ -5,7 +5,7 @@ from collections import Counter
 
 import numpy as np
 
-from lumatrace.operators import similar
+from lumatrace.operators import graph, similar
 from lumatrace.plans import pipeline, queries
 from lumatrace.plans.config import ScanConfig
 
@@ -79,3 +79,16 @@ def test_hamming_classes_hold_every_item_and_all_near_hashes(spark, tmp_path):
     links = Counter(i for p in near for i in p)
     got = [tuple(r) for r in queries.hamming_classes(spark, d).collect()]
     assert sorted(got) == sorted((i, rep[h], links[rep[h]]) for i, h in enumerate(hashes))
+
+
+def test_star_groups_of_a_long_chain_merge_the_evidence_once(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(graph, "ONE_TASK", 5)
+    names = [f"/c/n{i:02d}.png" for i in range(40)]
+    random.Random(4).shuffle(names)
+    rows = [(a, None, b, "RGB", "AI", 0.1) for a, b in zip(names, names[1:])] + [(names[1], None, names[0], None, "dHash", 0.0), ("/c/x.png", "R", "/c/y.png", None, "xxHash", 0.0), (None, None, "/c/x.png", None, "AI", 0.2)]
+    out = queries.star_groups(spark, table(spark, tmp_path, "edges", rows, "path1 string, channel1 string, path2 string, channel2 string, method string, distance double"))
+    assert not [f for f in out.inputFiles() if "/edges.parquet/" in f]  # all that is left to do reads merged pairs
+    at = names.index("/c/n00.png")
+    near = {names[i]: ("dHash", 0.0) if {i, at} == {0, 1} else ("AI", 0.1) for i in (at - 1, at + 1) if 0 <= i < 40}
+    want = {("/c/n00.png|", f"{n}|", *e, False) for n, e in near.items()} | {("/c/n00.png|", "/c/n00.png|", "Best", 0.0, True), ("/c/x.png|R", "/c/x.png|R", "Best", 0.0, True), ("/c/x.png|R", "/c/y.png|", "xxHash", 0.0, False)}
+    assert {(r.leader, r.node, r.method, r.distance, r.is_best) for r in out.collect()} == want
